@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from inkfield.llm.linededup import dedup_digest, dedup_lines
+from inkfield.llm.minhash import near_duplicates
 from inkfield.llm.packing import pack, pack_digest
 from inkfield.llm.tokencount import count_tokens
 from inkfield.llm.tokenfile import token_file_digest
@@ -20,13 +22,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_token_counts, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_minhash, op7_token_counts, op8_line_dedup, op10_token_files)}
 ORACLES: dict[str, str] = {}
