@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from inkfield.llm.chat import TURNS, chat_digest
+from inkfield.llm.langid import language_digest
 from inkfield.llm.linededup import dedup_digest, dedup_lines
 from inkfield.llm.minhash import near_duplicates
 from inkfield.llm.packing import pack, pack_digest
@@ -26,6 +28,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -34,9 +40,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], TURNS)
+    return chat_digest(table(spark, sf_dir, "conversations"), extra)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_minhash, op7_token_counts, op8_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_minhash, op5_language_id, op7_token_counts, op8_line_dedup, op9_chat_format, op10_token_files)}
 ORACLES: dict[str, str] = {}
