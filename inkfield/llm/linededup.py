@@ -254,8 +254,8 @@ def line_classes(rows: DataFrame, edits: int, least: int, bits: int) -> Written:
     return found
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 16, bits: int = BLOOM_BITS) -> DataFrame:
-    """doc_id, text, text_hash of the text before, n_lines, n_dropped of every row.
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 16, bits: int = BLOOM_BITS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_lines, n_dropped of every row, and the columns of `keep`.
 
     Lines are split at line feeds and compared without white space at their ends. A line
     of at least `least` characters goes if an equal line, or one that chains of links of at
@@ -281,12 +281,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     for t in (found, merged):
         t.drop()
     lost = gone.read().toDF("g_id", "g_hash", "gone")
+    names = [n for n in keep if n not in (id_col, text_col)]
+    rows = pick(df, id_col, text_col, *names).toDF("doc_id", "text", *[f"c{i}" for i in range(len(names))]).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
     told = rows.join(lost, rows.doc_id.eqNullSafe(lost.g_id) & (rows.text_hash == lost.g_hash), "left")
     lines = F.split("text", "\n")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return told.select("doc_id", text.alias("text"), "text_hash", count.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return told.select("doc_id", text.alias("text"), *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], count.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup_digest(kept: DataFrame) -> DataFrame:

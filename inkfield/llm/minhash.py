@@ -133,7 +133,7 @@ def agree(signature: str, other: str) -> str:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of the table.
+    """doc_id, n_shingles, component_id, kept, text_hash: a row for each row of the table.
 
     Words are runs of other characters than the six ASCII spaces, A-Z in lower case; a set
     holds the distinct shingles of `words` words, or all words as one if there are fewer.
@@ -179,7 +179,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         t.drop()
     told = sketch.read().join(by_digest.read(), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash")
 
 
 def class_sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
