@@ -51,24 +51,33 @@ def evaluate(words: Column, joined: Column, alias: Column) -> Column:
 def inline_part(text: Column, letters: Column) -> Column:
     """What follows after so many letters and digits of the text, cleaned; null if nothing."""
     pattern = F.concat(F.lit(r"(?s)^(?:[^\p{L}\p{Nd}]*[\p{L}\p{Nd}]){"), letters.cast("string"), F.lit(r"}(.*)$"))
-    rest = clean_value(F.regexp_extract(text, pattern, F.lit(1)))
+    rest = clean_value(F.call_function("regexp_extract", text, pattern, F.lit(1)))
     return F.when(rest != "", rest)
 
 
-def label_of(text: Column, words: Column | None = None) -> Column:
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: a lambda's variable is bound, an expression used twice is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def label_of(text: Column) -> Column:
     """struct<field, alias, similarity, inline> of the best alias, null if the text is no label.
 
     More alike wins, then the longer alias. Inline is what a text says after its label.
     """
-    words = normalize(text) if words is None else words
-    joined = F.replace(words, F.lit(" "), F.lit(""))
-    judged = F.transform(catalogue_array(), lambda a: F.struct(evaluate(words, joined, a).alias("similarity"), (-a["rank"]).alias("order"), a["field"].alias("field"), a["alias"].alias("alias"), a["compact"].alias("compact")))
-    best = F.array_max(F.filter(judged, lambda x: x["similarity"].isNotNull() & (words != "")))
-    starts = (words != best["alias"]) & (joined != best["compact"]) & (best["similarity"] >= 0.98) & F.startswith(joined, best["compact"])
-    inline = F.when(starts, inline_part(text, F.length(best["compact"])))
-    return F.when(best.isNotNull(), F.struct(best["field"].alias("field"), best["alias"].alias("alias"), best["similarity"].alias("similarity"), inline.alias("inline")))
+
+    def judge(f: Column) -> Column:
+        judged = F.transform(catalogue_array(), lambda a: F.struct(evaluate(f["words"], f["joined"], a).alias("similarity"), (-a["rank"]).alias("order"), a["field"].alias("field"), a["alias"].alias("alias"), a["compact"].alias("compact")))
+        return let(F.array_max(F.filter(judged, lambda x: x["similarity"].isNotNull())), lambda best: F.when(best.isNotNull(), told(f, best)))
+
+    def told(f: Column, best: Column) -> Column:
+        starts = (f["words"] != best["alias"]) & (f["joined"] != best["compact"]) & (best["similarity"] >= 0.98) & F.startswith(f["joined"], best["compact"])
+        inline = F.when(starts, inline_part(text, F.length(best["compact"])))
+        return F.struct(best["field"].alias("field"), best["alias"].alias("alias"), best["similarity"].alias("similarity"), inline.alias("inline"))
+
+    folded = let(normalize(text), lambda w: F.struct(w.alias("words"), F.replace(w, F.lit(" "), F.lit("")).alias("joined")))
+    return let(folded, lambda f: F.when(f["words"] != "", judge(f)))
 
 
 def with_labels(blocks: DataFrame) -> DataFrame:
-    """The blocks with a column label; the folded text is made once."""
-    return blocks.withColumn("words", normalize(F.col("text"))).withColumn("label", label_of(F.col("text"), F.col("words")))
+    return blocks.withColumn("label", label_of(F.col("text")))

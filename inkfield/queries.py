@@ -1,0 +1,544 @@
+"""The queries over the reference tables and their SQL, name by name."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkfield.catalogue import ANCHORS, INLINE, LOOKALIKES, SEPARATORS, SPATIAL, WEIGHTS
+from inkfield.functions import geometry as g
+from inkfield.functions import numbers as n
+from inkfield.functions import text as t
+from inkfield.operators import blocks as b
+from inkfield.operators import labels as lab
+from inkfield.options import Options
+from inkfield.plans.certificates import HEADER, facts, rendered, table
+from inkfield.plans.parse import parse_blocks
+from inkfield.sources.wire import upload_kind
+
+TODAY = dt.date(2026, 1, 1)
+OPTIONS = Options(today=TODAY)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+FROM, TO = t.fold_table()
+
+
+def s_fold(x: str) -> str:
+    return f"translate({x}, {q(FROM)}, {q(TO)})"
+
+
+def s_words(x: str) -> str:
+    return rf"coalesce(trim(regexp_replace({s_fold(x)}, '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), '')"
+
+
+def s_clean(x: str) -> str:
+    one = rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+    return f"coalesce(trim(regexp_replace(regexp_replace({one}, '^[:\\-.,;=–]+', ''), '[:\\-,;=–]+$', '')), '')"
+
+
+def s_digits(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '[^0-9]', '', 'g')"
+
+
+def s_digit(x: str, place: int) -> str:
+    return f"CAST(substr({x}, {place}, 1) AS INTEGER)"
+
+
+def s_tax_check(x: str) -> str:
+    terms = []
+    for p in range(1, 10):
+        d = f"(({s_digit(x, p)} + {10 - p}) % 10)"
+        terms.append(f"CASE WHEN {d} = 0 THEN 0 WHEN ({d} * {1 << (10 - p)}) % 9 = 0 THEN 9 ELSE ({d} * {1 << (10 - p)}) % 9 END")
+    return "((10 - (" + " + ".join(f"({x})" for x in terms) + ") % 10) % 10)"
+
+
+def s_person(x: str) -> tuple[str, str]:
+    odd = "(" + " + ".join(s_digit(x, p) for p in range(1, 10, 2)) + ")"
+    even = "(" + " + ".join(s_digit(x, p) for p in range(2, 9, 2)) + ")"
+    tenth = f"((7 * {odd} - {even}) % 10 + 10) % 10"
+    return tenth, f"({odd} + {even} + ({tenth})) % 10"
+
+
+FACTS = f"""
+first AS (SELECT o_custkey AS key, min(o_orderdate) AS since FROM orders GROUP BY o_custkey),
+raw AS (SELECT c_custkey AS key, c_custkey % 7 AS variant, CAST(100000000 + c_custkey * 1777 AS VARCHAR) AS body, c_name, n_name, r_name, c_mktsegment, since
+  FROM customer JOIN first ON c_custkey = key JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+facts AS (SELECT key, variant, body || CAST((({s_tax_check('body')}) + CASE WHEN variant = 1 THEN 1 ELSE 0 END) % 10 AS VARCHAR) AS vkn, c_name || ' A.Ş.' AS name, n_name AS office,
+  strftime(since, '%d.%m.%Y') AS since, lpad(CAST(key * 37 % 1000000 AS VARCHAR), 6, '0') AS code, c_mktsegment AS said, r_name || ' MAH. NO: ' || CAST(key % 97 AS VARCHAR) AS address FROM raw)"""
+
+
+def blocks_sql() -> str:
+    rows = [(i, i, x, q(text), "0.98") for i, (text, x) in enumerate(HEADER)]
+    rows.append((4, 4, 100, "CASE WHEN variant = 6 THEN 'Vergi Kimlik Numarasi' WHEN variant <> 5 THEN 'VERGİ KİMLİK NUMARASI' END", "0.98"))
+    rows.append((5, 5, 150, "CASE variant WHEN 2 THEN substr(vkn, 1, 3) || ' ' || substr(vkn, 4, 3) || ' ' || substr(vkn, 7, 4) WHEN 3 THEN substr(vkn, 1, 5) ELSE vkn END", "CASE WHEN variant = 4 THEN 0.6 ELSE 0.98 END"))
+    for i, (label, value) in enumerate((("TİCARET UNVANI", "name"), ("VERGİ DAİRESİ", "office"), ("İŞE BAŞLAMA TARİHİ", "since"), ("ANA FAALİYET KODU", "code"), ("ANA FAALİYET", "said"), ("ADRES", "address"))):
+        rows += [(6 + 2 * i, 6 + 2 * i, 100, q(label), "0.98"), (7 + 2 * i, 7 + 2 * i, 150, value, "0.98")]
+    rows.append((18, 5, 260, "CASE WHEN variant = 3 THEN substr(vkn, 6, 5) END", "0.98"))
+    parts = " UNION ALL ".join(f"SELECT key, {i} AS block_idx, {text} AS text, CAST({c} AS DOUBLE) AS confidence, CAST({x} AS DOUBLE) AS x1, {100 + 66 * at}.0::DOUBLE AS y1 FROM facts" for i, at, x, text, c in rows)
+    return f"""{FACTS}, parts AS ({parts}),
+blocks AS (SELECT CAST(key AS VARCHAR) AS doc_id, 1 AS page, block_idx, text, confidence, x1, y1, x1 + greatest(60.0, 16.0 * length(text)) AS x2, y1 + 40.0 AS y2 FROM parts WHERE text IS NOT NULL)"""
+
+
+BLOCKS = blocks_sql()
+CATALOGUE = "catalogue(field, alias, compact, size, least, slack, edits, rank) AS (VALUES " + ", ".join(f"({q(r['field'])}, {q(r['alias'])}, {q(r['compact'])}, {r['size']}, {r['least']}::DOUBLE, {r['slack']}::DOUBLE, {r['edits']}, {r['rank']})" for r in lab.catalogue()) + ")"
+JUDGED = f"""{BLOCKS}, {CATALOGUE},
+folded AS (SELECT *, {s_words('text')} AS words, replace({s_words('text')}, ' ', '') AS joined FROM blocks),
+judged AS (SELECT f.*, c.*, CASE WHEN words = alias OR starts_with(words, alias || ' ') THEN 1.0::DOUBLE WHEN joined = compact THEN 0.99::DOUBLE WHEN starts_with(joined, compact) THEN 0.98::DOUBLE
+  WHEN least < 1 AND abs(length(words) - size) <= slack AND levenshtein(words, alias) <= edits AND 1.0::DOUBLE - levenshtein(words, alias)::DOUBLE / greatest(length(words), size) >= least THEN 1.0::DOUBLE - levenshtein(words, alias)::DOUBLE / greatest(length(words), size) END AS similarity
+  FROM folded f CROSS JOIN catalogue c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block_idx ORDER BY similarity DESC, rank) AS nth FROM judged WHERE similarity IS NOT NULL AND words <> ''),
+labelled AS (SELECT * FROM ranked WHERE nth = 1)"""
+
+
+def s_box(a: str, b: str) -> dict[str, str]:
+    """SQL of overlaps and scores of two aliased boxes."""
+    h = f"greatest({a}.y2 - {a}.y1, 1.0)"
+    across = f"CASE WHEN least(greatest({a}.x2 - {a}.x1, 0.0), greatest({b}.x2 - {b}.x1, 0.0)) <= 0 THEN 0.0 ELSE least(1.0, greatest(0.0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) / least({a}.x2 - {a}.x1, {b}.x2 - {b}.x1)) END"
+    upright = f"CASE WHEN least(greatest({a}.y2 - {a}.y1, 0.0), greatest({b}.y2 - {b}.y1, 0.0)) <= 0 THEN 0.0 ELSE least(1.0, greatest(0.0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)) / least({a}.y2 - {a}.y1, {b}.y2 - {b}.y1)) END"
+    down, aside = f"({b}.y1 - {a}.y2)", f"({b}.x1 - {a}.x2)"
+    below = f"CASE WHEN {down} BETWEEN -0.35 * {h} AND 3.0 * {h} AND ({across}) > 0.15 THEN 0.55 * ({across}) + 0.30 * exp(-greatest({down}, 0.0) / (1.5 * {h})) + 0.15 * (1.0 - least(1.0, abs({b}.x1 - {a}.x1) / (4.0 * {h}))) END"
+    beside = f"CASE WHEN {aside} BETWEEN -0.2 * {h} AND 10.0 * {h} AND ({upright}) > 0.35 THEN 0.92 * (0.55 * ({upright}) + 0.30 * exp(-greatest({aside}, 0.0) / (4.0 * {h})) + 0.15 * (1.0 - least(1.0, abs(({b}.y1 + {b}.y2) / 2 - ({a}.y1 + {a}.y2) / 2) / {h}))) END"
+    return {"h": h, "across": across, "upright": upright, "below": below, "beside": beside, "down": down, "aside": aside}
+
+
+BOX = s_box("l", "v")
+PAIRS = f"""{JUDGED},
+pool AS (SELECT * FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM labelled x WHERE x.doc_id = b.doc_id AND x.block_idx = b.block_idx)),
+met AS (SELECT l.doc_id, l.field, l.block_idx AS label_idx, l.similarity, v.block_idx, v.text, v.confidence, {BOX['below']} AS below, {BOX['beside']} AS beside FROM labelled l JOIN pool v ON l.doc_id = v.doc_id AND l.page = v.page),
+pairs AS (SELECT *, CASE WHEN below IS NOT NULL AND (beside IS NULL OR below >= beside) THEN 'below' ELSE 'right' END AS position, CASE WHEN below IS NOT NULL AND (beside IS NULL OR below >= beside) THEN below ELSE beside END AS geometry FROM met WHERE below IS NOT NULL OR beside IS NOT NULL)"""
+
+
+def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(facts(spark, sf_dir))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lab.with_labels(certificates(spark, sf_dir)).where("label is not null").select("*", "label.field", "label.alias", "label.similarity", "label.inline")
+
+
+def split_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels with l-prefixed boxes, and the other blocks; the catalogue is matched once a block."""
+    every = lab.with_labels(certificates(spark, sf_dir))
+    box = [F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")]
+    labels = every.where("label is not null").select("doc_id", "page", F.col("block_idx").alias("label_idx"), "label.field", "label.similarity", *box)
+    return labels, every.where("label is null").select("doc_id", "page", "block_idx", "text", "confidence", "x1", "y1", "x2", "y2")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.candidates(*split_blocks(spark, sf_dir))
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+LINES = "lines AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
+
+# text
+
+
+@query(f"SELECT doc_id, md5({s_words('text')}) AS words_md5, length({s_words('text')}) AS n FROM documents")
+def fold_normalize(spark, sf_dir):
+    words = t.normalize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(words).alias("words_md5"), F.length(words).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, md5(replace({s_words('text')}, ' ', '')) AS words_md5 FROM documents")
+def fold_compact(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.compact(F.col("text"))).alias("words_md5"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, md5({s_clean('line')}) AS cleaned FROM lines")
+def clean_value(spark, sf_dir):
+    return lines_of(spark, sf_dir).select("doc_id", F.col("line_no").cast("long"), F.md5(t.clean_value(F.col("line"))).alias("cleaned"))
+
+
+@query("SELECT p_partkey, levenshtein(p_type, 'STANDARD BRASS') AS distance, round_even(1.0 - levenshtein(p_type, 'STANDARD BRASS')::DOUBLE / greatest(length(p_type), 14), 6) AS alike FROM part")
+def label_edit_distance(spark, sf_dir):
+    a, c = F.col("p_type"), F.lit("STANDARD BRASS")
+    return table(spark, sf_dir, "part").select("p_partkey", t.edit_distance(a, c).cast("long").alias("distance"), F.bround(t.similarity(a, c), 6).alias("alike"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_brand) = 0 THEN 7 WHEN levenshtein(p_brand, 'Brand#1') > 2 THEN 3 ELSE levenshtein(p_brand, 'Brand#1') END AS distance FROM part")
+def bounded_edit_distance(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", t.edit_distance(F.col("p_brand"), F.lit("Brand#1"), 2).cast("long").alias("distance"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE repeat('*', length(c_name) - 4) || right(c_name, 4) END AS masked, '<' || length(c_name) || ' chars>' AS redacted FROM customer")
+def mask_identity(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", t.mask_number(F.col("c_name")).alias("masked"), t.redact(F.col("c_name")).alias("redacted"))
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN '<empty>' ELSE '<' || length(text) || ' chars>' END AS redacted FROM documents")
+def redact_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.redact(F.col("text")).alias("redacted"))
+
+
+@query(r"SELECT page_id, 'upload' || lower(regexp_extract(regexp_extract(url, '([^/\\]*)$', 1), '(\.[A-Za-z0-9]{1,4})$', 1)) AS name FROM pages")
+def safe_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", t.safe_name(F.col("url")).alias("name"))
+
+
+@query(r"WITH " + LINES + r" SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, regexp_matches(line, '^\s*$') AS blank, length(trim(regexp_replace(line, '\s+', ' ', 'g'))) >= 2 AS usable FROM lines")
+def usable_text(spark, sf_dir):
+    return lines_of(spark, sf_dir).select("doc_id", F.col("line_no").cast("long"), t.is_blank(F.col("line")).alias("blank"), t.is_usable(F.col("line")).alias("usable"))
+
+
+# numbers
+
+
+@query(f"SELECT doc_id, {s_digits('text')} AS digits FROM documents")
+def digits_only(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", n.digits_only(F.col("text")).alias("digits"))
+
+
+def s_run(x: str, length: int) -> str:
+    """RE2 has no look-around: runs of the length among all runs of digits."""
+    runs = f"list_filter(regexp_extract_all(translate({x}, {q(SEPARATORS)}, ''), '[0-9]+'), lambda r: length(r) = {length})"
+    return f"CASE WHEN len({runs}) = 1 THEN {runs}[1] END"
+
+
+@query(f"SELECT page_id, {s_run('html', 4)} AS four, {s_run('html', 10)} AS ten FROM pages")
+def fixed_length_digits(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", n.fixed_length(F.col("html"), 4)["digits"].alias("four"), n.fixed_length(F.col("html"), 10)["digits"].alias("ten"))
+
+
+READ = q("".join(LOOKALIKES.values())), q("".join(d * len(s) for d, s in LOOKALIKES.items()))
+NOISY = "replace(replace(CAST(100000000000 + o_orderkey * 7919 AS VARCHAR), '0', 'O'), CASE WHEN o_orderkey % 2 = 0 THEN '5' ELSE 'x' END, 'S')"
+
+
+@query(f"WITH n AS (SELECT o_orderkey, {NOISY} AS noisy FROM orders), r AS (SELECT o_orderkey, noisy, {s_run('noisy', 12)} AS plain, {s_run(f'translate(noisy, {READ[0]}, {READ[1]})', 12)} AS second FROM n) SELECT o_orderkey, noisy, coalesce(plain, second) AS digits, plain IS NULL AND second IS NOT NULL AS substituted FROM r")
+def digit_substitution(spark, sf_dir):
+    noisy = F.replace(F.replace((100_000_000_000 + F.col("o_orderkey") * 7919).cast("string"), F.lit("0"), F.lit("O")), F.when(F.col("o_orderkey") % 2 == 0, "5").otherwise("x"), F.lit("S"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", noisy.alias("noisy"))
+    return rows.withColumn("found", n.fixed_length(F.col("noisy"), 12, allow_substitution=True)).select("o_orderkey", "noisy", "found.digits", "found.substituted")
+
+
+DATED = "CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 3 THEN strftime(o_orderdate, '%d.%m.%y') WHEN 4 THEN 'No ' || strftime(o_orderdate, '%d %m %Y') WHEN 5 THEN '31.02.' || strftime(o_orderdate, '%Y') WHEN 6 THEN '--.--.----' ELSE '01.01.2999' END"
+
+
+@query(f"SELECT o_orderkey, {DATED} AS written, CASE WHEN o_orderkey % 8 <= 4 THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders")
+def date_normalize(spark, sf_dir):
+    styles = ("dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yy")
+    written, day = F, F.col("o_orderkey") % 8
+    for i, style in enumerate(styles):
+        written = written.when(day == i, F.date_format("o_orderdate", style))
+    written = written.when(day == 4, F.concat(F.lit("No "), F.date_format("o_orderdate", "dd MM yyyy"))).when(day == 5, F.concat(F.lit("31.02."), F.date_format("o_orderdate", "yyyy"))).when(day == 6, "--.--.----").otherwise("01.01.2999")
+    return table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written")).withColumn("iso", n.iso_date(F.col("written"), TODAY))
+
+
+@query(f"SELECT p_partkey, CASE WHEN length({s_digits('p_name')}) BETWEEN 4 AND 6 THEN {s_digits('p_name')} END AS name_code, CASE WHEN length(CAST(p_partkey * 97 AS VARCHAR)) BETWEEN 4 AND 6 THEN CAST(p_partkey * 97 AS VARCHAR) END AS key_code FROM part")
+def activity_code(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", n.activity_code(F.col("p_name")).alias("name_code"), n.activity_code((F.col("p_partkey") * 97).cast("string")).alias("key_code"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 <> 2 THEN CAST(10000 + p_partkey AS VARCHAR) END AS code, CASE WHEN p_partkey % 3 <> 2 AND length(p_type) >= 3 THEN p_type END AS description FROM part WHERE p_partkey < 900000")
+def activity_split(spark, sf_dir):
+    key = (10_000 + F.col("p_partkey")).cast("string")
+    dash = F.when(F.col("p_partkey") % 3 == 0, "-").otherwise(" – ")
+    cell = F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("A"), key, F.lit("-"), "p_type")).otherwise(F.concat(key, dash, "p_type"))
+    rows = table(spark, sf_dir, "part").where("p_partkey < 900000").select("p_partkey", n.split_activity(cell).alias("s"))
+    return rows.select("p_partkey", "s.code", "s.description")
+
+
+TEN = "CAST(1000000000 + o_orderkey * 7 AS VARCHAR)"
+
+
+@query(f"SELECT o_orderkey, {s_tax_check(TEN)} AS check_digit, {s_tax_check(TEN)} = {s_digit(TEN, 10)} AS valid FROM orders")
+def tax_number_check(spark, sf_dir):
+    ten = (1_000_000_000 + F.col("o_orderkey") * 7).cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", ten.alias("ten")).select("o_orderkey", n.tax_check_digit(F.col("ten")).cast("long").alias("check_digit"), n.tax_number_valid(F.col("ten")).alias("valid"))
+
+
+ELEVEN = "CAST(10000000000 + c_custkey * 3 AS VARCHAR)"
+
+
+@query(f"SELECT c_custkey, {s_person(ELEVEN)[0]} AS tenth, {s_person(ELEVEN)[1]} AS eleventh, ({s_person(ELEVEN)[0]}) = {s_digit(ELEVEN, 10)} AND ({s_person(ELEVEN)[1]}) = {s_digit(ELEVEN, 11)} AS valid FROM customer")
+def person_number_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (10_000_000_000 + F.col("c_custkey") * 3).cast("string").alias("e"))
+    check = n.person_check_digits(F.col("e"))
+    return rows.select("c_custkey", check["tenth"].cast("long").alias("tenth"), check["eleventh"].cast("long").alias("eleventh"), n.person_number_valid(F.col("e")).alias("valid"))
+
+
+# sources
+
+
+HEADS = "CASE event_id % 6 WHEN 0 THEN '255044462D312E37' WHEN 1 THEN '89504E470D0A1A0A00' WHEN 2 THEN 'FFD8FFE0' WHEN 3 THEN '48656C6C6F' WHEN 4 THEN '89504E47' ELSE '' END"
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Pdf' WHEN 1 THEN 'Png' WHEN 2 THEN 'Jpeg' END AS kind, CASE event_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' END AS media_type, CASE WHEN event_id % 6 IN (3, 4) THEN 'UNSUPPORTED_FILE_TYPE' WHEN event_id % 6 = 5 THEN 'EMPTY_FILE' END AS error FROM events")
+def magic_bytes(spark, sf_dir):
+    content = F.unhex(F.expr(HEADS))
+    rows = table(spark, sf_dir, "events").select("event_id", content.alias("content"))
+    return rows.select("event_id", upload_kind(F.col("content"), F.length("content"), OPTIONS.max_upload_bytes).alias("u")).select("event_id", "u.kind", "u.media_type", "u.error")
+
+
+@query(rf"WITH {LINES}, kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS block_idx FROM lines WHERE NOT regexp_matches(line, '^\s*$')) SELECT doc_id, block_idx, CAST(line_no AS BIGINT) AS line_no, md5(line) AS line_md5, 100.0::DOUBLE + 16.0 * length(line) AS x2, 40.0 * line_no AS y1 FROM kept")
+def blocks_from_lines(spark, sf_dir):
+    rows = lines_of(spark, sf_dir).where(~t.is_blank(F.col("line")))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
+    return rows.select("doc_id", index.cast("long").alias("block_idx"), F.col("line_no").cast("long"), F.md5("line").alias("line_md5"), (100.0 + 16.0 * F.length("line")).alias("x2"), (40.0 * F.col("line_no")).alias("y1"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props_scan(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# geometry and joins
+
+
+EMB = "CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS y1, CAST(embedding[1] AS DOUBLE) + abs(CAST(embedding[3] AS DOUBLE)) AS x2, CAST(embedding[2] AS DOUBLE) + abs(CAST(embedding[4] AS DOUBLE)) AS y2"
+
+
+@query(f"WITH e AS (SELECT vec_id, {EMB} FROM embeddings) SELECT l.vec_id, round_even({BOX['across']}, 6) AS across, round_even({BOX['upright']}, 6) AS upright FROM e l JOIN e v ON v.vec_id = l.vec_id + 1")
+def box_overlap(spark, sf_dir):
+    at = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
+    boxes = table(spark, sf_dir, "embeddings").select("vec_id", at[0].alias("x1"), at[1].alias("y1"), (at[0] + F.abs(at[2])).alias("x2"), (at[1] + F.abs(at[3])).alias("y2"))
+    other = boxes.select((F.col("vec_id") - 1).alias("vec_id"), *[F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")])
+    met = boxes.join(other, "vec_id")
+    return met.select("vec_id", F.bround(g.across(g.Box.of(), g.Box.of("o")), 6).alias("across"), F.bround(g.upright(g.Box.of(), g.Box.of("o")), 6).alias("upright"))
+
+
+@query("SELECT vec_id, CAST(list_min([embedding[1], embedding[3], embedding[5]]) AS DOUBLE) AS x1, CAST(list_min([embedding[2], embedding[4], embedding[6]]) AS DOUBLE) AS y1, CAST(list_max([embedding[1], embedding[3], embedding[5]]) AS DOUBLE) AS x2, CAST(list_max([embedding[2], embedding[4], embedding[6]]) AS DOUBLE) AS y2 FROM embeddings")
+def polygon_extent(spark, sf_dir):
+    point = lambda i: F.array(*[F.get("embedding", F.lit(j)).cast("double") for j in (i, i + 1)])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(point(0), point(2), point(4)).alias("polygon"))
+    return rows.select("vec_id", g.extent(F.col("polygon")).alias("e")).select("vec_id", "e.*")
+
+
+@query(f"WITH {JUDGED} SELECT doc_id, block_idx, field, alias, round_even(similarity, 6) AS similarity FROM labelled")
+def label_best_alias(spark, sf_dir):
+    return labelled(spark, sf_dir).select("doc_id", "block_idx", "field", "alias", F.bround("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {JUDGED} SELECT doc_id, block_idx, alias, round_even(similarity, 6) AS similarity FROM judged WHERE similarity IS NOT NULL AND words <> ''")
+def label_match_cascade(spark, sf_dir):
+    rows = certificates(spark, sf_dir).select("doc_id", "block_idx", t.normalize(F.col("text")).alias("words"), F.explode(lab.catalogue_array()).alias("a"))
+    alike = lab.evaluate(F.col("words"), F.replace("words", F.lit(" "), F.lit("")), F.col("a"))
+    return rows.where("words <> ''").select("doc_id", "block_idx", "a.alias", F.bround(alike, 6).alias("similarity")).where("similarity is not null")
+
+
+@query(f"WITH {FACTS} SELECT key, name AS inline FROM facts")
+def inline_remainder(spark, sf_dir):
+    rows = facts(spark, sf_dir).select("key", F.concat(F.when(F.col("variant") % 2 == 0, "ADRES: ").otherwise("  Adres - "), "name").alias("text"))
+    return rows.select("key", lab.label_of(F.col("text"))["inline"].alias("inline"))
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, label_idx, block_idx, round_even(below, 6) AS score FROM met WHERE below IS NOT NULL")
+def label_value_below(spark, sf_dir):
+    return pairs(spark, sf_dir).where("below is not null").select("doc_id", "label_idx", "block_idx", F.bround("below", 6).alias("score"))
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, label_idx, block_idx, round_even(beside, 6) AS score FROM met WHERE beside IS NOT NULL")
+def label_value_right(spark, sf_dir):
+    return pairs(spark, sf_dir).where("beside is not null").select("doc_id", "label_idx", "block_idx", F.bround("beside", 6).alias("score"))
+
+
+@query(f"WITH {PAIRS}, nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label_idx ORDER BY geometry DESC, block_idx) AS n FROM pairs) SELECT doc_id, label_idx, field, block_idx, position, round_even(geometry, 6) AS geometry FROM nth WHERE n = 1")
+def label_value_best(spark, sf_dir):
+    best = b.top(pairs(spark, sf_dir), 1, ["doc_id", "label_idx"], F.desc("geometry"), "block_idx")
+    return best.select("doc_id", "label_idx", "field", "block_idx", "position", F.bround("geometry", 6).alias("geometry"))
+
+
+@query(f"WITH {PAIRS}, nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY geometry DESC, label_idx, block_idx) AS n FROM pairs) SELECT doc_id, label_idx, block_idx, n AS nth FROM nth WHERE n <= 3")
+def top_k_candidates(spark, sf_dir):
+    best = b.top(pairs(spark, sf_dir), 3, ["doc_id"], F.desc("geometry"), "label_idx", "block_idx")
+    return best.select("doc_id", "label_idx", "block_idx", F.col("nth").cast("long"))
+
+
+CLOSE = f"{BLOCKS}, near AS (SELECT doc_id, page, block_idx, x1, x2, text, confidence, 100 + block_idx * 60.0 AS y1, 100 + block_idx * 60.0 + 40.0 AS y2 FROM blocks)"
+
+
+def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The certificates set tight, a line under the other."""
+    top = 100 + F.col("block_idx") * 60.0
+    return certificates(spark, sf_dir).withColumn("y1", top).withColumn("y2", top + 40.0)
+
+
+@query(f"WITH {CLOSE}, met AS (SELECT a.doc_id, a.block_idx, b.block_idx AS next_idx, row_number() OVER (PARTITION BY a.doc_id, a.block_idx ORDER BY b.y1, b.x1, b.block_idx) AS n FROM near a JOIN near b ON a.doc_id = b.doc_id AND a.page = b.page AND a.block_idx <> b.block_idx WHERE b.y1 - a.y2 BETWEEN -20.0 AND 28.0 AND abs(a.x1 - b.x1) <= 32.0) SELECT doc_id, block_idx, next_idx FROM met WHERE n = 1")
+def stacked_continuation(spark, sf_dir):
+    return b.continuation(stacked(spark, sf_dir))
+
+
+BESIDE = f"{JUDGED}, side AS (SELECT doc_id, page, block_idx, block_idx - 1 AS owner_idx, x1 + 500 AS x1, y1 - 66 AS y1, x2 + 500 AS x2, y2 - 66 AS y2 FROM blocks WHERE x1 = 150)"
+
+
+@query(f"WITH {BESIDE} SELECT v.doc_id, v.block_idx FROM side v WHERE EXISTS (SELECT 1 FROM labelled l WHERE l.doc_id = v.doc_id AND l.page = v.page AND l.block_idx <> v.owner_idx AND l.x2 <= v.x1 AND ({s_box('l', 'v')['upright']}) > 0.5)")
+def belongs_to_other_label(spark, sf_dir):
+    labels, values = split_blocks(spark, sf_dir)
+    moved = certificates(spark, sf_dir).where("x1 = 150").select("doc_id", "page", "block_idx", (F.col("block_idx") - 1).alias("owner_idx"), (F.col("x1") + 500).alias("x1"), (F.col("y1") - 66).alias("y1"), (F.col("x2") + 500).alias("x2"), (F.col("y2") - 66).alias("y2"))
+    return b.owned_by_others(moved, labels).select("doc_id", "block_idx")
+
+
+@query(f"WITH {JUDGED} SELECT b.doc_id, b.block_idx FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM labelled l WHERE l.doc_id = b.doc_id AND l.block_idx = b.block_idx) AND b.block_idx <> 5")
+def available_values(spark, sf_dir):
+    labels, values = split_blocks(spark, sf_dir)
+    every = certificates(spark, sf_dir)
+    claimed = every.where("block_idx = 5").select("doc_id", "block_idx")
+    return b.free_values(every, labels, claimed).select("doc_id", "block_idx")
+
+
+# windows, folds and aggregates
+
+
+@query(f"WITH {FACTS} SELECT CAST(key AS VARCHAR) AS doc_id, vkn AS text, 2 AS n_parts, 150.0::DOUBLE AS x1, 340.0::DOUBLE AS x2 FROM facts WHERE variant = 3")
+def digit_islands(spark, sf_dir):
+    labels, values = split_blocks(spark, sf_dir)
+    return b.digit_islands(values).select("doc_id", "text", F.col("n_parts").cast("long"), "x1", "x2")
+
+
+@query("WITH e AS (SELECT user_id, ts, event_id, value, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) <= 3600 THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM e) SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(event_id) AS first_id FROM i GROUP BY user_id, island")
+def event_islands(spark, sf_dir):
+    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events")
+    apart = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(line).cast("timestamp"))
+    marked = rows.withColumn("s", F.when(apart <= 3_600_000_000, 0).otherwise(1))
+    island = marked.withColumn("island", F.sum("s").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, string_agg(text, ' ' ORDER BY y1, x1, block_idx) AS text, min(confidence) AS confidence, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_parts FROM blocks GROUP BY doc_id")
+def merge_boxes(spark, sf_dir):
+    return b.merged(certificates(spark, sf_dir), ["doc_id"], "text", " ").select("doc_id", "text", "confidence", "x1", "y1", "x2", "y2", F.col("n_parts").cast("long"))
+
+
+WALK = f"""RECURSIVE {CLOSE},
+seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, block_idx) AS n, x1 = 100 AND block_idx > 9 AS stop FROM near WHERE block_idx >= 6),
+walk AS (SELECT doc_id, n, block_idx, y2 AS low, false AS ended, false AS taken, x2 AS ax2 FROM seq WHERE n = 1
+  UNION ALL SELECT s.doc_id, s.n, s.block_idx, CASE WHEN s.y1 - w.low > 64.0 OR s.stop OR w.ended THEN w.low ELSE s.y2 END, w.ended OR s.y1 - w.low > 64.0 OR s.stop, NOT (w.ended OR s.y1 - w.low > 64.0 OR s.stop), w.ax2
+  FROM walk w JOIN seq s ON s.doc_id = w.doc_id AND s.n = w.n + 1)"""
+
+
+@query(f"WITH {WALK} SELECT doc_id, string_agg(CAST(block_idx AS VARCHAR), ',' ORDER BY n) AS lines FROM walk WHERE taken GROUP BY doc_id")
+def column_walk(spark, sf_dir):
+    near = stacked(spark, sf_dir).where("block_idx >= 6").withColumn("stop", (F.col("x1") == 100) & (F.col("block_idx") > 9))
+    anchors = near.where("block_idx = 6").select("doc_id", "page", F.col("block_idx").alias("anchor_idx"), *[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")])
+    told = b.column_walk(anchors, near, 99)
+    return told.select("doc_id", F.array_join(F.transform("lines", lambda x: x["block_idx"].cast("string")), ",").alias("lines")).where("lines <> ''")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, round_even(sum(confidence * greatest(length(text), 1)) / sum(greatest(length(text), 1)), 6) AS confidence FROM blocks GROUP BY doc_id")
+def weighted_confidence(spark, sf_dir):
+    return b.page_confidence(certificates(spark, sf_dir)).select("doc_id", F.bround("confidence", 6).alias("confidence"))
+
+
+SAID = f"said AS (SELECT doc_id, string_agg({s_words('text')}, ' ' ORDER BY block_idx) AS said FROM blocks GROUP BY doc_id)"
+
+
+@query(f"WITH {BLOCKS}, {SAID} SELECT doc_id, round_even(least(1.0, {' + '.join(f'CASE WHEN contains(said, {q(a)}) THEN {w}::DOUBLE ELSE 0 END' for a, w in ANCHORS)}), 6) AS score FROM said")
+def document_score(spark, sf_dir):
+    return b.document_score(certificates(spark, sf_dir)).select("doc_id", F.bround("score", 6).alias("score"))
+
+
+@query(f"SELECT doc_id, round_even(least(1.0, {' + '.join(f'CASE WHEN contains({s_words("text")}, {q(a)}) THEN {w}::DOUBLE ELSE 0 END' for a, w in ANCHORS)}), 6) >= 0.35 AS accepted FROM documents")
+def document_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("block_idx"), F.coalesce("text", F.lit("")).alias("text"))
+    return b.document_score(rows).select("doc_id", (F.col("score") >= OPTIONS.min_document_score).alias("accepted"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS types, count(DISTINCT event_type) > 1 AS ambiguous, count(*) AS n FROM events GROUP BY user_id")
+def distinct_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("types"), F.count("*").alias("n"))
+    return rows.select("user_id", "types", (F.col("types") > 1).alias("ambiguous"), "n")
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, label_idx, block_idx, round_even(confidence * least(1.0, {SPATIAL} * similarity * (0.75 + 0.25 * geometry) * 0.92), 4) AS confidence, round_even(confidence * {INLINE} * similarity * 0.5 * 0.75, 4) AS doubted FROM pairs")
+def field_confidence(spark, sf_dir):
+    one = F.lit(1.0)
+    sure = g.parser_confidence(F.lit(SPATIAL), F.col("similarity"), F.col("geometry"), F.lit(0.92), one)
+    doubt = g.parser_confidence(F.lit(INLINE), F.col("similarity"), one, F.lit(0.5), F.lit(0.75))
+    return pairs(spark, sf_dir).select("doc_id", "label_idx", "block_idx", g.combined(F.col("confidence"), sure).alias("confidence"), g.combined(F.col("confidence"), doubt).alias("doubted"))
+
+
+@query(f"WITH {BLOCKS} SELECT DISTINCT text FROM blocks")
+def distinct_values(spark, sf_dir):
+    return certificates(spark, sf_dir).select("text").distinct()
+
+
+@query(f"WITH {JUDGED} SELECT doc_id, block_idx, 'block' AS kind FROM blocks UNION ALL SELECT doc_id, block_idx, 'label' AS kind FROM labelled")
+def concat_blocks(spark, sf_dir):
+    every = certificates(spark, sf_dir).select("doc_id", "block_idx", F.lit("block").alias("kind"))
+    return every.unionByName(labelled(spark, sf_dir).select("doc_id", "block_idx", F.lit("label").alias("kind")))
+
+
+@query(f"WITH {BLOCKS}, nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y1, x1, block_idx) AS n FROM blocks) SELECT doc_id, block_idx, n - 1 AS place FROM nth WHERE n <= 6")
+def limit_lines(spark, sf_dir):
+    return b.in_order(certificates(spark, sf_dir)).where(F.col("place") < OPTIONS.max_address_lines).select("doc_id", "block_idx", F.col("place").cast("long"))
+
+
+# the whole plan
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_blocks(certificates(spark, sf_dir), OPTIONS)
+
+
+TRUE = f"{FACTS} SELECT CAST(key AS VARCHAR) AS doc_id, true AS success, vkn, variant <> 1 AS vkn_valid, name, office, strftime(strptime(since, '%d.%m.%Y'), '%Y-%m-%d') AS since, code, said, address FROM facts"
+
+
+@query(f"WITH {TRUE}")
+def flagship_roundtrip(spark, sf_dir):
+    rows = parsed(spark, sf_dir)
+    return rows.select("doc_id", "success", "data.vkn", F.col("validation.vkn.valid").alias("vkn_valid"), F.col("data.ticaretUnvani").alias("name"), F.col("data.vergiDairesi").alias("office"), F.col("data.iseBaslamaTarihi").alias("since"), F.col("data.anaFaaliyetKodu").alias("code"), F.col("data.anaFaaliyetAciklamasi").alias("said"), F.col("data.adres").alias("address"))
+
+
+@query(f"WITH {FACTS} SELECT CAST(key AS VARCHAR) AS doc_id, CASE variant WHEN 1 THEN 'INVALID_VKN_CHECKSUM:vkn,LOW_CONFIDENCE_FIELD:vkn' WHEN 4 THEN 'LOW_CONFIDENCE_FIELD:vkn' WHEN 5 THEN 'VKN_LABEL_NOT_FOUND:vkn,LOW_CONFIDENCE_FIELD:vkn' ELSE '' END AS warnings FROM facts")
+def warning_codes(spark, sf_dir):
+    return parsed(spark, sf_dir).select("doc_id", F.array_join(F.transform("warnings", lambda w: F.concat_ws(":", w["code"], w["field"])), ",").alias("warnings"))
+
+
+RIGHT = "CASE WHEN variant = 1 THEN 0.5 ELSE 1.0 END * CASE WHEN variant = 4 THEN 0.6 ELSE 0.98 END"
+
+
+@query(f"WITH {FACTS} SELECT CAST(key AS VARCHAR) AS doc_id, round_even(CASE WHEN variant = 5 THEN 0.55 * 0.98 ELSE 0.95 * (0.75 + 0.25 * (0.55 + 0.30 * exp(-26.0::DOUBLE / 60.0) + 0.15 * (1 - 50.0 / 160.0))) * {RIGHT} END, 4) AS confidence FROM facts WHERE variant <> 3")
+def number_confidence(spark, sf_dir):
+    plain = parsed(spark, sf_dir).where(F.pmod(F.col("doc_id").cast("long"), F.lit(7)) != 3)
+    return plain.select("doc_id", F.col("confidence.vkn").alias("confidence"))
+
+
+WEIGHED = {f: x for f, x in WEIGHTS.items() if f not in ("tckn", "adiSoyadi")}
+
+
+def overall_confidence(spark, sf_dir):
+    """The plan's overall confidence beside the same from its fields' confidences, as expressions."""
+    rows = parsed(spark, sf_dir)
+    have = sum((F.when(F.col(f"confidence.{f}").isNotNull(), x).otherwise(0.0) for f, x in WEIGHED.items()), F.lit(0.0))
+    score = sum((F.coalesce(F.col(f"confidence.{f}") * x, F.lit(0.0)) for f, x in WEIGHED.items()), F.lit(0.0))
+    again = score / have * (0.6 + 0.4 * have / sum(WEIGHED.values()))
+    return rows.select("doc_id", F.col("confidence.overall").alias("overall"), (F.abs(again - F.col("confidence.overall")) < 6e-5).alias("agrees"))
+
+
+QUERIES["overall_confidence"] = overall_confidence
+
+
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan over nested documents, the map that a stream runs; its rows equal the batch's."""
+    from inkfield.plans.parse import nest, parse_nested
+
+    told = parse_nested(nest(certificates(spark, sf_dir)), OPTIONS)
+    return told.select("doc_id", "success", "data.vkn", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+QUERIES["stream_equals_batch"] = stream_equals_batch
+ORACLES["stream_equals_batch"] = f"WITH {FACTS} SELECT CAST(key AS VARCHAR) AS doc_id, true AS success, vkn, CASE variant WHEN 1 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS n_warnings FROM facts"
+
