@@ -99,7 +99,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         for out in step(None):
             yield as_batch(out, target)
 
-    return df.mapInArrow(run, schema)
+    plain = df.toDF(*[f"p{i}" for i in range(len(df.columns))])  # mapInArrow looks columns up by name
+    return plain.mapInArrow(run, schema)
 
 
 def as_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:

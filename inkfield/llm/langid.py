@@ -118,7 +118,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     names = [id_col, text_col, *(k for k in keep if k not in (id_col, text_col))]
     rows = pick(df, *names)
     if keep:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + f", {TOLD}"
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + f", {TOLD}"
     else:
         rows, schema = rows.select(F.col(id_col).cast("long").alias("doc_id"), text_col), SCHEMA
 
