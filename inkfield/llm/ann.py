@@ -4,8 +4,8 @@ Centroids come from a bounded sample by k-means whose large clusters are split u
 balanced. Every vector is posted to its nearest centroid and, if it lies near a boundary, to
 more of them. Lists that outgrow a page are kept in several pages, none is cut off.
 A query walks a neighbour graph of the centroids held in memory, best first, and takes all
-lists whose distance is within a ratio of the nearest one's. The distance of the
-tenth nearest sample vector bounds what a list has to return.
+lists whose distance is within a ratio of the nearest one's. The nearest vectors of the
+sample are candidates too, and the last of them bounds what a list has to return.
 """
 
 from __future__ import annotations
@@ -187,7 +187,21 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
         return step
 
-    asked = arrow_map(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))), ask, "list int, query_id long, query array<double>, bound double")
+    def sampled():
+        def step(batch):
+            if batch is None or not batch.num_rows:
+                return
+            _, known, points = index.value
+            for key, q in zip(batch.column(0).to_pylist(), matrix(batch.column(1)), strict=True):
+                others = known != key
+                gaps = np.sqrt(((points[others] - q) ** 2).sum(1))
+                near = np.argsort(gaps, kind="stable")[:k]
+                yield {"query_id": [key] * len(near), "vec_id": known[others][near], "score": gaps[near]}
+
+        return step
+
+    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = arrow_map(queries, ask, "list int, query_id long, query array<double>, bound double")
     pages = spark.createDataFrame([(i, max(1, -(-int(n) // PAGE))) for i, n in enumerate(counts)], "list int, pages int")
     dealt = posted.read().join(F.broadcast(pages), "list").withColumn("page", F.pmod(F.xxhash64("vec_id"), F.col("pages")))
     held = dealt.groupBy("list", "page").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("embedding").alias("vectors"))
@@ -216,6 +230,6 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     with small_batches(spark, 16):
         found = Written(arrow_map(met, compare, "query_id long, vec_id long, score double"), "found")
     posted.drop()
-    once = found.read().groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    once = found.read().union(arrow_map(queries, sampled, "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
