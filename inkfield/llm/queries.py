@@ -12,6 +12,7 @@ from inkfield.llm.langid import language_digest
 from inkfield.llm.linededup import dedup_digest, dedup_lines
 from inkfield.llm.minhash import near_duplicates
 from inkfield.llm.mixing import mix
+from inkfield.llm.oracles import ORACLES
 from inkfield.llm.packing import pack, pack_digest
 from inkfield.llm.tokencount import count_tokens
 from inkfield.llm.tokenfile import token_file_digest
@@ -78,4 +79,4 @@ OPERATORS = (
     op10_token_files,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
