@@ -214,25 +214,22 @@ def candidate_lines(rows: DataFrame, edits: int, least: int, filled: np.ndarray)
     return arrow_map(rows.select("text"), make, "item long, line string, counts array<int>, keys array<long>").dropDuplicates(["item"])
 
 
-def near(edits: int):
-    """SQL condition on counts x and y: an edit changes the sum of differences by two at most."""
-    return F.expr(f"aggregate(zip_with(x, y, (p, q) -> abs(p - q)), 0, (s, d) -> s + d) <= {2 * edits}")
+def near(edits: int) -> str:
+    """SQL condition on the counts of two lines: an edit changes the sum of differences by two at most."""
+    return f"aggregate(zip_with(counts_a, counts_b, (p, q) -> abs(p - q)), 0, (s, d) -> s + d) <= {2 * edits}"
 
 
 def line_classes(rows: DataFrame, edits: int, least: int, bits: int) -> Written:
     """node (item of a line), component of the lines that others are within `edits` edits of."""
     shared = Written(line_keys(rows, edits, least).groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("key"), "keys")
     lines = Written(candidate_lines(rows, edits, least, bloom(shared.read(), bits)), "lines")
-    posted = lines.read().select("item", F.explode("keys").alias("key")).distinct()
-    buckets = Written(posted.join(shared.read(), "key", "left_semi").select("key", "item"), "postings")
+    posted = lines.read().select("item", "counts", F.explode("keys").alias("key")).dropDuplicates(["item", "key"])
+    buckets = Written(posted.join(shared.read(), "key", "left_semi").select("key", "item", "counts", F.xxhash64("item").alias("rank")), "postings")
     shared.drop()
-    counted = lines.read().select("item", "counts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = counted.toDF("a", "x"), counted.toDF("b", "y")
-        likely = pairs.join(left, "a").join(right, "b").where(near(edits)).select("a", "b")
-        texts = lines.read()
-        met = likely.join(texts.select(F.col("item").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("item").alias("b"), F.col("line").alias("t")), "b")
+        side = lambda name: lines.read().select(F.col("item").alias(name), F.col("line").alias(f"line_{name}"), F.col("counts").alias(f"counts_{name}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where(near(edits))
 
         def make():
             def step(batch):
@@ -242,13 +239,9 @@ def line_classes(rows: DataFrame, edits: int, least: int, bits: int) -> Written:
 
             return step
 
-        return arrow_map(met.select("a", "b", "s", "t"), make, "a long, b long")
+        return arrow_map(met.select("a", "b", "line_a", "line_b"), make, "a long, b long")
 
-    def close(left: DataFrame, right: DataFrame) -> DataFrame:
-        left, right = left.join(counted.toDF("a", "x"), "a"), right.join(counted.toDF("b", "y"), "b")
-        return left.join(right, (left.key == right.key) & (left.a < right.b) & (left.ca != right.cb) & near(edits))
-
-    found = resolve(buckets.read(), verify, close)
+    found = resolve(buckets.read(), verify, near(edits))
     for t in (lines, buckets):
         t.drop()
     return found

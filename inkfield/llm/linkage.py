@@ -21,66 +21,70 @@ def components(edges: DataFrame, what: str = "stars") -> Written:
     """node, component (smallest node reachable) of all nodes that have an edge (a, b)."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = Written(pairs, what)
-    print_of = None
-    while True:
+    while not is_forest(now.read()):
         stars = now.read()
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.where("m < u").select("u", F.col("m").alias("v"))
-        ).distinct()  # a node keeps an edge to its least neighbour
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(nearest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(nearest.select("u", F.col("m").alias("v"))).distinct()
         following = Written(small, what)
-        got = following.read().agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now.drop()
         now = following
-        if got == print_of:
-            break
-        print_of = got
     stars = now.read()
     out = Written(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), what)
     now.drop()
     return out
 
 
-def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], close: Callable[[DataFrame, DataFrame], DataFrame] | None = None, rounds: int = 2) -> Written:
-    """item, component of the items of buckets (key, item) that have a link.
+def is_forest(stars: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: then each v is the centre of its component."""
+    ends = stars.groupBy("u").agg(F.count("*").alias("n"))
+    bad = ends.where("n > 1").select("u").union(ends.select("u").join(stars.select(F.col("v").alias("u")), "u", "left_semi"))
+    return bad.isEmpty()
 
-    verify: takes candidate pairs (a, b) and returns the linked ones. close: takes two
-    copies of the buckets, renamed (key, a, ca) and (key, b, cb), and joins them under a
-    cheap necessary condition; by default on the key alone. Each of the rounds takes another
-    hub a bucket, the item with the least hash under the round's seed, so that buckets
-    of one group mostly share their hub. Buckets that lie in one component are left out.
+
+def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], close: str | None = None, rounds: int = 2) -> Written:
+    """node, component of the items of buckets (key, item, rank, ...) that have a link.
+
+    verify: takes candidate pairs (a, b) and returns the linked ones. close: a cheap necessary
+    condition in SQL on the other columns of the buckets, with _a and _b after their names. The first
+    hub of a bucket is its item of least rank, the hub of a later round the one with the least hash under
+    the round's seed; so buckets of one group mostly share their hub. Buckets that lie in one component
+    are left out. What is left meets pair by pair, each pair in the least key that both have.
     """
-    links = None
-    found: Written | None = None
+    links = found = None
     for step in range(rounds):
         at = labelled(buckets, found)
-        hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("item", F.lit(step)).alias("h"), F.col("item").alias("hub"), F.col("c").alias("ch"))).alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        order = F.xxhash64("item", F.lit(step)) if step else F.col("rank")
+        hub = at.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("item").alias("hub"), F.col("c").alias("ch"))).alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi"))
         hub = hub.where("lo <> hi").select("key", "s.hub", "s.ch")
-        pairs = at.join(hub, "key").where("c <> ch").select(F.least("hub", "item").alias("a"), F.greatest("hub", "item").alias("b")).distinct()
+        pairs = at.select("key", "item", "c").join(hub, "key").where("c <> ch").select(F.least("hub", "item").alias("a"), F.greatest("hub", "item").alias("b")).distinct()
         links, found = linked(verify, pairs, links, found)
     at = labelled(buckets, found)
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = at.join(mixed, "key", "left_semi")
-    left = rest.select("key", F.col("item").alias("a"), F.col("c").alias("ca"))
-    right = rest.select("key", F.col("item").alias("b"), F.col("c").alias("cb"))
-    pairs = (close or by_key)(left, right).select("a", "b").distinct()
+    rest = Written(at.join(mixed, "key", "left_semi"), "rest")
+    keys = rest.read().groupBy("item").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    full = Written(rest.read().join(keys, "item"), "mixed")
+    left, right = suffixed(full.read(), "a"), suffixed(full.read(), "b")
+    close = f"key_a = key_b and item_a < item_b and c_a <> c_b and {close or 'true'} and key_a = array_min(array_intersect(keys_a, keys_b))"
+    pairs = left.join(right, F.expr(close)).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
     links, found = linked(verify, pairs, links, found)
-    links.drop()
+    for t in (rest, full, links):
+        t.drop()
     return found
 
 
-def by_key(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, (left.key == right.key) & (left.a < right.b) & (left.ca != right.cb))
+def suffixed(rows: DataFrame, side: str) -> DataFrame:
+    return rows.toDF(*[f"{c}_{side}" for c in rows.columns])
 
 
 def labelled(buckets: DataFrame, found: Written | None) -> DataFrame:
+    """The buckets with each item's component so far, c."""
     if found is None:
-        return buckets.select("key", "item", F.col("item").alias("c"))
-    labels = found.read().select(F.col("node").alias("item"), F.col("component"))
-    return buckets.join(labels, "item", "left").select("key", "item", F.coalesce("component", "item").alias("c"))
+        return buckets.withColumn("c", F.col("item"))
+    labels = found.read().select(F.col("node").alias("item"), "component")
+    return buckets.join(labels, "item", "left").withColumn("c", F.coalesce("component", "item")).drop("component")
 
 
 def linked(verify, pairs: DataFrame, links: Written | None, found: Written | None) -> tuple[Written, Written]:

@@ -7,7 +7,9 @@ similarity 0.8 or more agree in at least 40 of 64 coordinates but for a chance o
 1 in 10,000; two signatures that agree in 40 share one of the 25 rarest pairs of each, so
 only these rarest pairs are posted (prefix), values that no other class has are skipped,
 agreeing coordinates are counted for what meets in a list, and whoever reaches 40 is
-confirmed on the full sets.
+confirmed on the full sets. Before that, shingles that no other candidate has bound a
+pair's similarity from above: a class with too many of its own is linked with nothing, so
+families of loose copies do not meet pair by pair.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 
 from inkfield.llm.common import Written, arrow_map, pick
 from inkfield.llm.linkage import resolve
+from inkfield.llm.vectors import matrix
 from inkfield.llm.wordtok import per_worker
 
-COORDINATES, MATCHES = 64, 40
+COORDINATES, MATCHES, BITS = 64, 40, 1024
 SEED = 20_011
 COLUMNS = 4096  # shingles times 64 values at a time
 SKETCH = "doc_id long, text_hash long, n_shingles long, digest binary, signature array<int>"
@@ -67,11 +70,15 @@ class Shingler:
             total += mixed(h[i : i + n]) * factor
         return np.unique(mixed(total))
 
-    def signature(self, shingles: np.ndarray) -> list[int]:
+    def minima(self, shingles: np.ndarray) -> np.ndarray:
         least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(shingles), COLUMNS):
-            least = np.minimum(least, (shingles[i : i + COLUMNS] * self.a + self.b).min(axis=1))
-        return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        step = COLUMNS * COORDINATES // len(self.a)
+        for i in range(0, len(shingles), step):
+            least = np.minimum(least, (shingles[i : i + step] * self.a + self.b).min(axis=1))
+        return least
+
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        return (self.minima(shingles) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
@@ -104,23 +111,24 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
     return owned.select("item", F.explode(F.slice("own", F.lit(1), room)).alias("t")).select(F.col("t.key").alias("key"), "item")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose intersection has at least `percent` of the union."""
-    left = sets.select(F.col("item").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("item").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """The pairs (a, b) that agree in enough coordinates and whose intersection has at least `percent` of the union."""
+    left = sets.select(F.col("item").alias("a"), F.col("shingles").alias("sa"), F.col("signature").alias("x"))
+    right = sets.select(F.col("item").alias("b"), F.col("shingles").alias("sb"), F.col("signature").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "x", "y")
 
     def make():
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
             out = {"a": [], "b": []}
-            for a, b, sa, sb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(sa.as_py(), np.uint64), np.frombuffer(sb.as_py(), np.uint64)
+            agree = matrix(batch.column(4)) == matrix(batch.column(5))
+            for i in np.flatnonzero(agree.sum(1) >= matches).tolist():
+                x, y = np.frombuffer(batch.column(2)[i].as_py(), np.uint64), np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    out["a"].append(a)
-                    out["b"].append(b)
+                    out["a"].append(batch.column(0)[i].as_py())
+                    out["b"].append(batch.column(1)[i].as_py())
             yield out
 
         return step
@@ -128,8 +136,53 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(met, make, "a long, b long")
 
 
-def agree(signature: str, other: str) -> str:
-    return f"size(filter(arrays_zip({signature}, {other}), x -> x.{signature} = x.{other}))"
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """item, size, rest: shingles of each set, and those of them that another set has too."""
+
+    def make():
+        def step(batch):
+            if batch is None or not batch.num_rows:
+                return
+            for i in range(0, batch.num_rows, 64):
+                parts = [np.frombuffer(r.as_py(), np.int64) for r in batch.column(1)[i : i + 64]]
+                yield {"item": np.repeat(batch.column(0)[i : i + 64].to_numpy(), [len(p) for p in parts]), "shingle": np.concatenate(parts)}
+
+        return step
+
+    every = arrow_map(sets.select("item", "shingles"), make, "item long, shingle long")
+    owners = every.groupBy("shingle").agg(F.min("item").alias("item"), F.count("*").alias("n"))
+    own = owners.where("n = 1").groupBy("item").agg(F.count("*").alias("own"))
+    sized = sets.select("item", (F.length("shingles") / 8).cast("long").alias("size"))
+    return sized.join(own, "item", "left").select("item", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("rest"))
+
+
+def one_bit(sets: DataFrame) -> DataFrame:
+    """item, bits: a bit each of 1024 more minima. Two sets of similarity s agree in a bit with chance (1 + s) / 2."""
+
+    def make():
+        more = per_worker(("bits",), lambda: Shingler(1, BITS))
+
+        def step(batch):
+            if batch is None or not batch.num_rows:
+                return
+            bits = []
+            for raw in batch.column(1):
+                least = more.minima(np.frombuffer(raw.as_py(), np.uint64))
+                bits.append(np.packbits((least >> np.uint64(24)).astype(np.uint8) & 1).view(np.int64))
+            yield {"item": batch.column(0), "bits": bits}
+
+        return step
+
+    return arrow_map(sets.select("item", "shingles"), make, "item long, bits array<long>")
+
+
+def possible(percent: int) -> str:
+    """SQL: whether two sets can be similar enough, by their sizes, by what of them other sets have at all, and by
+    their bits, which deny it wrongly with a chance of 1 in 100,000 at the least similarity."""
+    chance = (1 - percent / 100) / 2
+    apart = BITS * chance + 4.3 * (BITS * chance * (1 - chance)) ** 0.5
+    differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITS // 64))
+    return f"100 * least(rest_a, rest_b) >= {percent} * (size_a + size_b - least(rest_a, rest_b)) and {differ} <= {int(apart) + 1}"
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
@@ -156,21 +209,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = buckets.read().select("item").distinct()
     chosen = Written(classes.read().join(wanted, "item", "left_semi"), "candidates")
     sets = Written(class_sets(rows, chosen.read(), words), "sets")
-    signatures = chosen.read().select("item", "signature")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = signatures.select(F.col("item").alias("a"), F.col("signature").alias("x"))
-        right = signatures.select(F.col("item").alias("b"), F.col("signature").alias("y"))
-        likely = pairs.join(left, "a").join(right, "b").where(F.expr(agree("x", "y")) >= matches).select("a", "b")
-        return confirm(likely, sets.read(), percent)
-
-    def close(left: DataFrame, right: DataFrame) -> DataFrame:
-        left = left.join(signatures.select(F.col("item").alias("a"), F.col("signature").alias("x")), "a")
-        right = right.join(signatures.select(F.col("item").alias("b"), F.col("signature").alias("y")), "b")
-        return left.join(right, (left.key == right.key) & (left.a < right.b) & (left.ca != right.cb) & (F.expr(agree("x", "y")) >= matches))
-
-    found = resolve(buckets.read(), verify, close)
-    for t in (buckets, sets, chosen):
+    sizes = shared_sizes(sets.read()).where(f"100 * rest >= {percent} * size")  # else no link is possible
+    known = sizes.withColumn("rank", 1 - F.col("rest") / F.col("size")).join(one_bit(sets.read()), "item")
+    viable = Written(buckets.read().join(known, "item"), "viable")
+    found = resolve(viable.read(), lambda pairs: confirm(pairs, sets.read(), percent, matches), possible(percent))
+    for t in (buckets, sets, chosen, viable):
         t.drop()
     items = classes.read().join(found.read().select(F.col("node").alias("item"), "component"), "item", "left").select("digest", "rep", F.coalesce("component", "item").alias("c"))
     least = items.groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -183,9 +226,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def class_sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """item, shingles of the chosen classes, made again from the text of a document of each."""
+    """item, shingles, signature of the chosen classes, made again from the text of a document of each."""
     same = rows.doc_id.eqNullSafe(chosen.rep) & (rows.text_hash == chosen.text_hash)
-    texts = rows.join(chosen, same).select("item", "text", "digest")
+    texts = rows.join(chosen, same).select("item", "text", "digest", "signature")
 
     def make():
         shingler = per_worker(("shingles", words), lambda: Shingler(words))
@@ -193,14 +236,15 @@ def class_sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
-            out = {"item": [], "shingles": []}
-            for item, text, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            out = {"item": [], "shingles": [], "signature": []}
+            for item, text, digest, signature in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 raw = shingler.shingles(text.as_py()).tobytes()
                 if raw and xxhash.xxh3_128_digest(raw) == digest:
                     out["item"].append(item)
                     out["shingles"].append(raw)
+                    out["signature"].append(signature.values)
             yield out
 
         return step
 
-    return arrow_map(texts, make, "item long, shingles binary").dropDuplicates(["item"])
+    return arrow_map(texts, make, "item long, shingles binary, signature array<int>").dropDuplicates(["item"])
