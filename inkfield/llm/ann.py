@@ -4,8 +4,9 @@ Centroids come from a bounded sample by k-means whose large clusters are split u
 balanced. Every vector is posted to its nearest centroid and, if it lies near a boundary, to
 more of them. Lists that outgrow a page are kept in several pages, none is cut off.
 A query walks a neighbour graph of the centroids held in memory, best first, and takes all
-lists whose distance is within a ratio of the nearest one's. The nearest vectors of the
-sample are candidates too, and the last of them bounds what a list has to return.
+lists whose distance is within a ratio of the nearest one's, and further lists until they
+hold enough different ids for k neighbours. The vectors of the sample that lie in the lists of a
+query bound what each list has to return; the answer itself comes from the lists alone.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ MOST_LISTS = 2_048
 REPLICAS = 4  # lists a vector is posted to at most, its own among them
 BOUNDARY = 1.08  # a further list is as near as that times the nearest
 RATIO = 1.2  # a searched list is as near as that times the nearest
-LEAST_SEEN = 64  # vectors in the searched lists at least, if there are so many
+LEAST_SEEN = 64  # different ids in the searched lists at least, if there are so many
 NEIGHBOURS = 24
 PAGE = 1_024
 QUERIES = 256  # queries compared with a page at a time
@@ -66,7 +67,10 @@ def centroids(points: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
 
 
 class Graph:
-    """Neighbour graph of the centroids; searched best first from a few spread entries."""
+    """Neighbour graph of the centroids; searched best first from a few spread entries.
+
+    sizes: ids of each list, every id counted in one list only.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.points, self.sizes = points, sizes
@@ -98,21 +102,22 @@ class Graph:
         more = np.linspace(0, len(self.points) - 1, min(16, len(self.points))).astype(np.int64)
         return np.unique(np.concatenate((entries, more)))
 
-    def lists(self, q: np.ndarray, ratio: float) -> list[int]:
-        """Lists whose centroid is within the ratio of the nearest found, and more until enough vectors are seen."""
+    def lists(self, q: np.ndarray, ratio: float, least: int = LEAST_SEEN) -> list[int]:
+        """Lists whose centroid is within the ratio of the nearest found, and more until `least` ids are seen."""
         seen = np.zeros(len(self.points), bool)
         seen[self.entries] = True
         heap = list(zip(np.linalg.norm(self.points[self.entries] - q, axis=1).tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(heap)
         best, out = np.inf, []
-        patience = 0
+        patience = held = 0
         while heap:
             gap, at = heapq.heappop(heap)
             best = min(best, gap)
             out.append((gap, at))
+            held += self.sizes[at]
             if gap > ratio * best:
                 patience += 1
-                if patience > 8 and sum(self.sizes[a] for g, a in out if g <= ratio * best) >= LEAST_SEEN or patience > len(self.points):
+                if patience > 8 and held >= least:
                     break
             near = self.linked[at][~seen[self.linked[at]]]
             seen[near] = True
@@ -120,14 +125,14 @@ class Graph:
                 heapq.heappush(heap, item)
         found, total = [], 0
         for gap, at in sorted(out):
-            if gap > ratio * best and total >= LEAST_SEEN:
+            if gap > ratio * best and total >= least:
                 break
             found.append(at)
             total += self.sizes[at]
         return found
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, ratio: float = RATIO, list_size: int = LIST, most_lists: int = MOST_LISTS) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, ratio: float = RATIO, list_size: int = LIST, most_lists: int = MOST_LISTS, sample_size: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query.
 
     Queries are the rows whose id is divisible by `every`, candidates all rows of another
@@ -145,7 +150,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total, dim = sizes[0][0], -sizes[0][1]
     rows = rows.where(F.size("embedding") == dim)
-    ids, some = sample(rows, "vec_id", SAMPLE, total)
+    ids, some = sample(rows, "vec_id", sample_size, total)
     if not len(some):  # by chance none of a few rows
         ids, some = sample(rows, "vec_id", total, total)
     middle = centroids(some, int(np.clip(total // list_size, 1, most_lists)))
@@ -164,39 +169,37 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                 chosen[:, 0] = True
                 row, col = np.nonzero(chosen)
                 part = batch.slice(i, 2048).take(pa.array(row))
-                yield {"list": order[row, col], "vec_id": part.column(0), "embedding": part.column(1)}
+                yield {"list": order[row, col], "home": col == 0, "vec_id": part.column(0), "embedding": part.column(1)}
 
         return step
 
-    posted = Written(arrow_map(rows, post, "list int, vec_id long, embedding array<double>"), "postings")
-    counts = np.zeros(len(middle), np.int64)
+    posted = Written(arrow_map(rows, post, "list int, home boolean, vec_id long, embedding array<double>"), "postings")
+    counts, alone = np.zeros(len(middle), np.int64), np.zeros(len(middle), np.int64)
     for r in posted.read().groupBy("list").count().collect():
         counts[r["list"]] = r["count"]
-    index = spark.sparkContext.broadcast((Graph(middle, counts), ids, some))
+    homes = posted.read().where("home").groupBy("vec_id").agg(F.min("list").alias("list"))
+    for r in homes.groupBy("list").count().collect():
+        alone[r["list"]] = r["count"]
+    picked = F.broadcast(spark.createDataFrame(pa.table({"vec_id": np.unique(ids)})))
+    held_by = posted.read().where("home").join(picked, "vec_id").groupBy("vec_id").agg(F.min(F.struct("list", "embedding")).alias("at")).collect()
+    held_by.sort(key=lambda r: (r["at"]["list"], r["vec_id"]))
+    known = np.array([r["vec_id"] for r in held_by], np.int64)
+    points = np.array([r["at"]["embedding"] for r in held_by], np.float64)
+    ends = np.searchsorted([r["at"]["list"] for r in held_by], np.arange(len(middle) + 1))
+    index = spark.sparkContext.broadcast((Graph(middle, alone), known, points, ends))
+    least = max(LEAST_SEEN, k) + 1  # the query's own id is among them
 
     def ask():
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
-            graph, known, points = index.value
-            for key, q in zip(batch.column(0).to_pylist(), matrix(batch.column(1)), strict=True):
-                gaps = np.linalg.norm(points[known != key] - q, axis=1)
-                bound = float(np.partition(gaps, k - 1)[k - 1]) if len(gaps) >= k else 1e308
-                lists = graph.lists(q, ratio)
-                yield {"list": lists, "query_id": [key] * len(lists), "query": [q] * len(lists), "bound": [bound * (1 + 1e-9)] * len(lists)}
-
-        return step
-
-    def sampled():
-        def step(batch):
-            if batch is None or not batch.num_rows:
-                return
-            _, known, points = index.value
+            graph, known, points, ends = index.value
             for key, q in zip(batch.column(0).to_pylist(), matrix(batch.column(1)), strict=True):
-                others = known != key
-                gaps = np.sqrt(((points[others] - q) ** 2).sum(1))
-                near = np.argsort(gaps, kind="stable")[:k]
-                yield {"query_id": [key] * len(near), "vec_id": known[others][near], "score": gaps[near]}
+                lists = graph.lists(q, ratio, least)
+                own = np.concatenate([np.arange(ends[at], ends[at + 1]) for at in lists])
+                gaps = np.linalg.norm(points[own[known[own] != key]] - q, axis=1)
+                bound = float(np.partition(gaps, k - 1)[k - 1]) * (1 + 1e-9) if len(gaps) >= k else 1e308
+                yield {"list": lists, "query_id": [key] * len(lists), "query": [q] * len(lists), "bound": [bound] * len(lists)}
 
         return step
 
@@ -216,13 +219,15 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             for i in range(batch.num_rows):
                 qi, qs, bounds, vi, vs = (batch.column(c)[i].values for c in range(5))
                 qi, q, bounds, vi, v = qi.to_numpy(), matrix(qs), bounds.to_numpy(), vi.to_numpy(), matrix(vs)
+                order = np.argsort(vi, kind="stable")
+                vi, v = vi[order], v[order]
                 gaps = np.sqrt(squares(q, v))
                 gaps[qi[:, None] == vi[None]] = np.inf
-                if len(vi) > k + 8:  # ties and rounding: some more than k, checked exactly below
-                    least = np.partition(gaps, k + 7, axis=1)[:, k + 7]
-                else:
-                    least = np.full(len(qi), np.inf)
-                a, b = np.nonzero((gaps <= np.minimum(least, bounds)[:, None] + 1e-6) & np.isfinite(gaps))
+                starts = np.flatnonzero(np.r_[True, vi[1:] != vi[:-1]])
+                if len(starts) > k + 8:  # ties and rounding: some more ids than k, checked exactly below
+                    least_gaps = np.minimum.reduceat(gaps, starts, axis=1)
+                    bounds = np.minimum(bounds, np.partition(least_gaps, k + 7, axis=1)[:, k + 7])
+                a, b = np.nonzero((gaps <= bounds[:, None] + 1e-6) & np.isfinite(gaps))
                 yield {"query_id": qi[a], "vec_id": vi[b], "score": np.sqrt(((q[a] - v[b]) ** 2).sum(1))}
 
         return step
@@ -230,6 +235,6 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     with small_batches(spark, 16):
         found = Written(arrow_map(met, compare, "query_id long, vec_id long, score double"), "found")
     posted.drop()
-    once = found.read().union(arrow_map(queries, sampled, "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    once = found.read().groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

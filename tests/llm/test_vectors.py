@@ -95,6 +95,27 @@ def test_nearest_has_recall_and_exact_scores(spark):
     assert recall >= 0.9
 
 
+def recall_of(spark, rows, want, **options):
+    got = {}
+    for r in nearest(vectors(spark, rows), every=20, list_size=30, **options).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got[q]) == 10 for q in want)
+    return np.mean([len(got[q] & {v for _, v in want[q]}) / 10 for q in want])
+
+
+def test_the_lists_decide_what_is_found(spark):
+    rows = cloud(3, 3000, 40, 12, 1.0)
+    want = exact(rows, 20, 10)
+    assert recall_of(spark, rows, want, sample_size=300) >= 0.9
+    assert recall_of(spark, rows, want, ratio=1.0) < 1
+
+
+def test_repeated_rows_leave_room_for_k_others(spark):
+    rows = cloud(5, 400, 8, 12, 1.0)
+    rows += [(rows[i][0], rows[i][1]) for i in range(1, 6) for _ in range(150)]
+    recall_of(spark, rows, exact(rows, 20, 10), ratio=1.0)
+
+
 def test_all_candidates_if_there_are_fewer(spark):
     rows = [(0, [0.0, 1.0]), (100, [0.0, 2.0]), (7, [0.0, 3.0]), (8, [0.0, 3.0])]
     got = [tuple(r) for r in nearest(vectors(spark, rows)).orderBy("query_id", "rank").collect()]
