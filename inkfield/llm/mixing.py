@@ -3,32 +3,37 @@
 The documents of a source are dealt into blocks. With weight w its block j is released at
 slot floor(j / w) and due at slot ceil((j + 1) / w); of the released blocks the one due first
 takes the next slot. As the weights sum to one, every block meets its window, so that at
-any slot a source is less than one block away from its share. Weights are whole
-numbers over a common period, and the schedule repeats with that period: the driver
-plans one period, and a block's place follows from its number by arithmetic. When a
-source runs out, the period after starts a new phase in which the others share its weight.
+any slot a source is less than one block away from its share. Weights are exact fractions
+and hold over the whole phase; nothing is rounded to a period. The driver runs the schedule
+once and keeps how far each source is at the start of every stretch of slots; tasks
+run the stretches again from there. When a source runs out, a new phase starts in which the
+others share its weight.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import pick
+from inkfield.llm.common import arrow_map, pick
 
-PERIOD = 1024  # slots planned at least
-PER_SOURCE = 8  # slots planned a source at least
+PERIOD = 1024  # slots of a cycle at least
+PER_SOURCE = 8  # slots of a cycle a source at least
+STRETCH = 65_536  # slots that a task plans
 BLOCK = 16  # documents a block
 BUCKET = 4096  # documents of a source that are ranked together, about
-MOST_BROADCAST = 200_000  # slots of a plan that is broadcast, at most
+MOST_BROADCAST = 200_000  # blocks of a plan that is broadcast, at most
 PLACE = ("rank", "phase", "cycle", "slot", "place")
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole numbers of slots that sum to the period, at least one each: largest remainders."""
+    """Whole numbers of slots that sum to the period, at least one each: largest remainders. mix() does not round."""
     total = sum(weights.values())
     exact = {k: w / total * (period - len(weights)) for k, w in weights.items()}
     whole = {k: 1 + int(x) for k, x in exact.items()}
@@ -38,39 +43,57 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return whole
 
 
-def schedule(slots: Mapping[str, int]) -> list[str]:
-    """The source of each slot of a period: released blocks, earliest deadline first, ties by name."""
-    period = sum(slots.values())
-    released: dict[int, list] = {}
-    for k, n in slots.items():
-        for j in range(n):
-            released.setdefault(j * period // n, []).append((-(-(j + 1) * period // n), k))
-    ready: list[tuple[int, str]] = []
-    plan = []
-    for slot in range(period):
-        for window in released.get(slot, ()):
-            heapq.heappush(ready, window)
-        due, k = heapq.heappop(ready)
+def exact(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    unit = lcm(*(x.denominator for x in parts.values()))
+    return {k: int(x * unit) for k, x in parts.items()}
+
+
+def taken(whole: Mapping[str, int], done: Mapping[str, int], slot: int = 0) -> Iterator[str]:
+    """The source of each slot from `slot` on, by which `done` blocks of each source are placed."""
+    total = sum(whole.values())
+    ready: list[tuple[int, str, int]] = []
+    later = [(done[k] * total // n, -(-(done[k] + 1) * total // n), k, done[k]) for k, n in whole.items()]
+    heapq.heapify(later)
+    while True:
+        while later and later[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(later)[1:])
+        due, k, j = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its window")
-        plan.append(k)
-    return plan
+        yield k
+        j, n, slot = j + 1, whole[k], slot + 1
+        heapq.heappush(later, (j * total // n, -(-(j + 1) * total // n), k, j))
+
+
+def schedule(slots: Mapping[str, int]) -> list[str]:
+    """The source of each slot of a period: released blocks, earliest deadline first, ties by name."""
+    return list(islice(taken(slots, dict.fromkeys(slots, 0)), sum(slots.values())))
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """Phases until all blocks are placed: first block of each source, slots of each, periods, plan.
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD, stretch: int = STRETCH) -> list[dict]:
+    """Phases until all blocks are placed: first block and blocks of each source, whole-number weights, cycle, stretches.
 
-    A phase lasts whole periods, to the end of the one in which the first of its sources runs out.
+    A phase ends with the last block of the first of its sources to run out; it is one period of its
+    own. A stretch is its first slot, its slots and the blocks that each source has placed before.
     """
     left, first, out = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
     while left:
-        slots = shares({k: weights[k] for k in left}, max(period, PER_SOURCE * len(left)))
-        periods = min(-(-n // slots[k]) for k, n in left.items())
-        out.append({"first": {k: first[k] for k in left}, "slots": slots, "periods": periods, "plan": schedule(slots)})
-        for k in list(left):
-            used = min(left[k], periods * slots[k])
-            first[k] += used
-            left[k] -= used
+        whole = exact({k: weights[k] for k in left})
+        done, starts = dict.fromkeys(left, 0), []
+        for slot, k in enumerate(taken(whole, done.copy())):
+            if slot % stretch == 0:
+                starts.append((slot, done.copy()))
+            done[k] += 1
+            if done[k] == left[k]:
+                break
+        ends = [at for at, _ in starts[1:]] + [slot + 1]
+        stretches = [(at, end - at, before) for (at, before), end in zip(starts, ends, strict=True)]
+        out.append({"first": {k: first[k] for k in left}, "slots": done, "periods": 1, "weights": whole, "cycle": max(period, PER_SOURCE * len(left)), "stretches": stretches})
+        for k, n in done.items():
+            first[k] += n
+            left[k] -= n
             if not left[k]:
                 del left[k]
     return out
@@ -91,7 +114,9 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str =
     that no row is lost. A null source is a source of its own, with the empty name. Null ids
     and repeated rows are placed like others, their ties in any order. An empty table gives
     no row; other columns are ignored, or with carry kept in a struct `row` (fields c0, c1, ...).
-    The driver gets a count for each source, nothing that grows with the documents. Rows are
+    (phase, cycle, slot) is the slot in the whole phase, in cycles of `period` slots or 8 a source.
+    The driver gets a count for each source and runs the schedule, a step a block, keeping a count a
+    source for every 65,536 blocks. Rows are
     ranked in hash buckets of bounded size with counts before each bucket, so that a large source
     is spread over all tasks.
     """
@@ -121,24 +146,33 @@ def with_row(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
 
 
 def placed(ranked: DataFrame, plan: list[dict], block: int) -> DataFrame:
-    """Joins ranks with the plan: the phases of each source, and the slots of a period."""
+    """Joins ranks with the plan: the phase and slot of each block of a source."""
     spark = ranked.sparkSession
-    spans: dict[str, list] = {}
-    slots = []
-    for p, phase in enumerate(plan):
-        seen = dict.fromkeys(phase["slots"], 0)
-        for at, k in enumerate(phase["plan"]):
-            slots.append((k, p, seen[k], at))
-            seen[k] += 1
-        for k, n in phase["slots"].items():
-            spans.setdefault(k, []).append((p, phase["first"][k], n))
-    small = (lambda x: F.broadcast(x)) if len(slots) <= MOST_BROADCAST else (lambda x: x)
-    by_source = spark.createDataFrame(list(spans.items()), "source string, spans array<struct<phase:long,first:long,n:long>>")
-    order = spark.createDataFrame(slots, "source string, phase long, nth long, slot long")
-    told = ranked.withColumn("number", F.floor(F.col("rank") / block)).join(small(by_source), "source")
-    told = told.withColumn("span", F.element_at(F.filter("spans", lambda s: s["first"] <= F.col("number")), -1)).withColumn("since", F.col("number") - F.col("span.first"))
-    told = told.withColumn("phase", F.col("span.phase")).withColumn("cycle", F.expr("since div span.n")).withColumn("nth", F.pmod("since", "span.n")).withColumn("place", F.col("rank") % block)
-    told = told.drop("spans", "span", "since", "number").join(small(order), ["source", "phase", "nth"]).drop("nth")
+    todo = [(p, i) for p, phase in enumerate(plan) for i in range(len(phase["stretches"]))]
+    shipped = spark.sparkContext.broadcast(plan)
+
+    def make():
+        def step(batch):
+            if batch is None:
+                return
+            for p, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                phase = shipped.value[p]
+                start, n, before = phase["stretches"][i]
+                sources = list(islice(taken(phase["weights"], before, start), n))
+                at, numbers = {k: phase["first"][k] + x for k, x in before.items()}, []
+                for k in sources:
+                    numbers.append(at[k])
+                    at[k] += 1
+                yield {"source": sources, "number": numbers, "phase": [p] * n, "at": range(start, start + n), "per": [phase["cycle"]] * n}
+
+        return step
+
+    tasks = min(len(todo), 4 * spark.sparkContext.defaultParallelism)
+    order = arrow_map(spark.createDataFrame(todo, "phase int, stretch int").repartition(tasks), make, "source string, number long, phase long, at long, per long")
+    blocks = sum(sum(phase["slots"].values()) for phase in plan)
+    small = (lambda x: F.broadcast(x)) if blocks <= MOST_BROADCAST else (lambda x: x)
+    told = ranked.withColumn("number", F.floor(F.col("rank") / block)).join(small(order), ["source", "number"])
+    told = told.withColumn("cycle", F.expr("at div per")).withColumn("slot", F.col("at") % F.col("per")).withColumn("place", F.col("rank") % block)
     return told.select("doc_id", "source", *PLACE, *(["row"] if "row" in ranked.columns else []))
 
 

@@ -1,15 +1,17 @@
 import hashlib
+import itertools
 import json
 import random
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from inkfield.llm.chat import LAYOUTS, TURNS, chat_digest, fingerprint, format_turns, json_turns, parse_slice, paths_of, table_turns
 from inkfield.llm.langid import Classifier, dictionary, identify, language_digest, learn
-from inkfield.llm.mixing import mix, mixed_documents, phases, schedule, shares
+from inkfield.llm.mixing import mix, mixed_documents, phases, schedule, shares, taken
 
 # language
 
@@ -93,6 +95,33 @@ def test_mixture_follows_the_weights(spark):
     assert all(sorted(v) == list(range(len(v))) for v in rank.values())
 
 
+@pytest.mark.parametrize("weights", [{f"s{i:03}": 1.0 for i in range(20)}, {f"s{i:03}": 0.9 if i == 7 else 0.1 / 199 for i in range(200)}])
+def test_the_given_weights_hold_over_many_cycles(weights):
+    blocks = {k: int(90_000 * w / sum(weights.values())) + 1 for k, w in weights.items()}
+    phase = phases(blocks, weights, stretch=7_000)[0]
+    share = np.array([w / sum(weights.values()) for w in weights.values()])
+    at = {k: i for i, k in enumerate(weights)}
+    done, t = np.zeros(len(share)), 0
+    for start, n, before in phase["stretches"]:
+        assert start == t and [before[k] for k in weights] == done.tolist()
+        for k in itertools.islice(taken(phase["weights"], before, start), n):
+            done[at[k]] += 1
+            t += 1
+            assert np.abs(done - share * t).max() < 1 + 1e-6
+    assert t > 50 * 1024
+
+
+def test_places_keep_to_the_given_weights(spark):
+    rows = [(i, f"s{i % 20:02}") for i in range(100_000)]
+    weights = {f"s{i:02}": 1.0 for i in range(20)}
+    got = sorted((r.phase, r.cycle, r.slot, r.source) for r in mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1).collect())
+    assert {p for p, *_ in got[:80_000]} == {0} and [c * 1024 + s for _, c, s, _ in got[:80_000]] == list(range(80_000))
+    done = dict.fromkeys(weights, 0)
+    for t, (*_, k) in enumerate(got[:80_000], 1):
+        done[k] += 1
+        assert t % 97 or all(abs(n - t / 20) < 1 for n in done.values())
+
+
 def test_mixture_of_messy_rows(messy, nothing):
     got = mixed_documents(messy)
     assert got.columns == messy.columns
