@@ -51,8 +51,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    return pack_digest(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    """The pieces of all documents in sequences of 2048 tokens, numbered along the mixture.
+
+    Spark deals files out by size when the mixture is read again, so the order is made anew
+    here: tasks, and in them windows of the packer, follow the mixture; inside a window lengths decide.
+    """
+    return pack_digest(pack(mixed_documents(docs.select(*COLUMNS)), public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("mixture", mixture), ("packing", packing)]

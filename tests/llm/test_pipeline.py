@@ -7,6 +7,7 @@ from test_duplicates import brute, shingle_set, similar, spread
 import __spark_entry__
 from inkfield.llm.common import Written
 from inkfield.llm.langid import identify, learn
+from inkfield.llm.mixing import mix
 from inkfield.llm.queries import QUERIES
 
 
@@ -67,3 +68,25 @@ def test_mixture_and_packing_lose_nothing(steps):
     ids = {r.doc_id for r in steps["near"].collect()}
     assert {p.doc_id for p in pieces} == ids
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+
+
+def test_sequences_follow_the_mixture(spark, sf, tmp_path):
+    docs = [(i, f"word{i} " * (300 if i >= 300 else 3), "en", "b" if i >= 100 else "a", 1) for i in range(900)]
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "false")
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(9).write.parquet(f"{tmp_path}/docs")
+        mixed = Written(corpus_pipeline.mixture(spark, spark.read.parquet(f"{tmp_path}/docs"), sf), "mixed")
+        pieces = corpus_pipeline.packing(spark, mixed.read(), sf).collect()
+        order = sorted(mix(mixed.read()).collect(), key=lambda r: (r.phase, r.cycle, r.slot, r.place))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    at = {r.doc_id: i for i, r in enumerate(order)}
+    tasks = {}
+    for p in pieces:
+        tasks.setdefault(p.sequence_id >> 32, []).append(at[p.doc_id])
+    spans = [(min(v), max(v)) for _, v in sorted(tasks.items())]
+    assert len(spans) > 2 and sum(len(set(v)) for v in tasks.values()) == len(docs)
+    assert all(a[1] < b[0] for a, b in itertools.pairwise(spans))
