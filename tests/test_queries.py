@@ -23,3 +23,11 @@ def test_joins_stay_within_documents(spark, sf):
 def test_scans_read_only_what_they_need(spark, sf):
     plan = QUERIES["tax_number_check"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+
+def test_activity_split_keeps_every_part(spark, tmp_path):
+    keys = (899_999, 900_000, 989_997, 990_000, 990_001, 990_002)
+    spark.createDataFrame([(k, "BRASS") for k in keys], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: (r.code, r.description) for r in QUERIES["activity_split"](spark, str(tmp_path)).collect()}
+    six = {k: (str(10_000 + k), "BRASS") if k % 3 != 2 and k < 990_000 else (None, None) for k in keys}
+    assert got == six
