@@ -31,3 +31,10 @@ def test_activity_split_keeps_every_part(spark, tmp_path):
     got = {r.p_partkey: (r.code, r.description) for r in QUERIES["activity_split"](spark, str(tmp_path)).collect()}
     six = {k: (str(10_000 + k), "BRASS") if k % 3 != 2 and k < 990_000 else (None, None) for k in keys}
     assert got == six
+
+
+def test_merged_numbers_have_their_confidence_checked(spark, sf):
+    got = {int(r.doc_id): r.confidence for r in QUERIES["every_number_confidence"](spark, sf).collect()}
+    assert got.keys() == {int(r.doc_id) for r in QUERIES["flagship_roundtrip"](spark, sf).select("doc_id").collect()}
+    merged = [c for k, c in got.items() if k % 7 == 3]
+    assert len(merged) > 10 and set(merged) == {0.8955}
