@@ -4,7 +4,7 @@ A document is the set of its word shingles, hashed to 64 bits; its signature has
 minimum of 64 hash functions. Documents with equal sets are one class, so copies cost
 nothing more. Every class is posted under its coordinate-value pairs. Two sets of
 similarity 0.8 or more agree in at least 40 of 64 coordinates but for a chance of about
-1 in 10,000; two signatures that agree in 40 share one of the 25 rarest pairs of each, so
+3.5 in 10,000; two signatures that agree in 40 share one of the 25 rarest pairs of each, so
 only these rarest pairs are posted (prefix), values that no other class has are skipped,
 agreeing coordinates are counted for what meets in a list, and whoever reaches 40 is
 confirmed on the full sets. Before that, shingles that no other candidate has bound a
