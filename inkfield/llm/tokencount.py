@@ -2,7 +2,7 @@
 
 Offline, every vocabulary string that ends a word is encoded alone; those that come out as
 their own single token are proven whole. A pre-token among them counts one without any
-merging. The rest are merged by the library, and the count of each chunk of text
+merging. The rest are merged by the library's model, and the count of each chunk of text
 between two spaces is remembered.
 """
 
@@ -12,20 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.llm.common import arrow_map, pick
-from inkfield.llm.wordtok import WordEncoder, load_spec, per_worker, spec_key
+from inkfield.llm.wordtok import WordEncoder, byte_letters, load_spec, per_worker, spec_key
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, others follow from U+0100."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table = {chr(b): b for b in own}
-    for n, b in enumerate(b for b in range(256) if b not in own):
-        table[chr(256 + n)] = b
-    return table
-
-
 def prove_whole(spec: str) -> frozenset[str]:
     """The pre-tokens that encode alone as one token; at most the vocabulary."""
     encoder = WordEncoder(spec)
@@ -62,20 +53,24 @@ class TokenCounter(WordEncoder):
             total += sum(map(known.__getitem__, chunks))
         return total
 
-    def resolve(self, chunks: list[str]) -> list[int]:
-        """Pre-tokens proven whole count one; the others are merged together in one call."""
-        whole, counts, rest, owner = self.whole, [], [], []
+    def word(self, word: str) -> int:
+        """A pre-token proven whole counts one; another one is merged."""
+        return 1 if word in self.whole else len(self.merged(word))
+
+    def joined(self, parts: list[int]) -> int:
+        return sum(parts)
+
+    def split_by_library(self, chunks: list[str]) -> list[int]:
+        """Counts of chunks, their pre-tokens proven whole at once and the others in one call."""
+        counts, rest, owner = [], [], []
         for i, c in enumerate(chunks):
-            n = 0
-            for word in self.words.findall(c):
-                if word in whole:
-                    n += 1
-                else:
-                    rest.append(word)
-                    owner.append(i)
-            counts.append(n)
+            words = self.words.findall(c)
+            others = [w for w in words if w not in self.whole]
+            counts.append(len(words) - len(others))
+            rest += others
+            owner += [i] * len(others)
         if rest:
-            for i, raw in zip(owner, super().resolve(rest), strict=True):
+            for i, raw in zip(owner, super().split_by_library(rest), strict=True):
                 counts[i] += len(raw) // self.kind.itemsize
         return counts
 

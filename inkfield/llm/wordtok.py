@@ -2,15 +2,18 @@
 
 A text is normalised as the library does it and split at white space. White space
 never lies inside a pre-token, so what a chunk between two spaces encodes to does not
-depend on its surroundings: it is looked up, and only chunks not seen before go to the
-library, many at a time. Texts with a special string or a control character that the
-two notions of white space treat differently go to the library whole.
+depend on its surroundings: it is looked up, and only chunks not seen before are cut into
+pre-tokens, whose merges the library's model makes. Chunks beyond Latin-1, where versions of
+Unicode may differ in what a letter is, go to the library's own splitting, many at a time. Texts with
+a special string or a control character that the two notions of white space treat differently go to
+the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +22,16 @@ import regex
 SLICE = 1 << 19  # characters handled at a time
 CACHE = 300_000  # chunks a generation of the cache holds; two generations are kept
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
+SPLITS = [{"behavior": "Removed", "invert": True}, {"add_prefix_space": False, "use_regex": False}]  # what a spec has to do with pre-tokens
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, others follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {chr(b): b for b in own}
+    for n, b in enumerate(b for b in range(256) if b not in own):
+        table[chr(256 + n)] = b
+    return table
 
 
 def load_spec(path: str) -> str:
@@ -46,8 +59,13 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
-        split = next(p for p in parsed["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        steps = parsed["pre_tokenizer"].get("pretokenizers", [])
+        if [p["type"] for p in steps] != ["Split", "ByteLevel"] or any(p[k] != v for p, least in zip(steps, SPLITS, strict=True) for k, v in least.items()):
+            raise ValueError("a pre-tokenizer that splits by a pattern and maps bytes is needed")
+        self.words = regex.compile(steps[0]["pattern"]["Regex"])
+        self.model = self.bare.model
+        self.letters = {b: ord(c) for c, b in byte_letters().items()}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.specials = [t["content"] for t in parsed["added_tokens"]]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -106,6 +124,41 @@ class WordEncoder:
         return new
 
     def resolve(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks: those of their pre-tokens, one after the other."""
+        out: list = [None] * len(chunks)
+        far = []
+        for i, c in enumerate(chunks):
+            if not c.isascii() and max(c) > "\xff":
+                far.append(i)
+            elif c.isalpha():
+                out[i] = self.word(c)
+            else:
+                out[i] = self.joined([self.part(w) for w in self.words.findall(c)])
+        if far:
+            for i, found in zip(far, self.split_by_library([chunks[i] for i in far]), strict=True):
+                out[i] = found
+        return out
+
+    def part(self, word: str):
+        """What a pre-token of a longer chunk has; remembered as a chunk is."""
+        found = self.new.get(word)
+        if found is None:
+            found = self.old.get(word)
+            self.new[word] = found = self.word(word) if found is None else found
+        return found
+
+    def word(self, word: str):
+        """Ids of a pre-token."""
+        return array(self.code, self.merged(word)).tobytes()
+
+    def merged(self, word: str) -> list[int]:
+        raw = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(raw)]
+
+    def joined(self, parts: list):
+        return b"".join(parts)
+
+    def split_by_library(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks, encoded in one call and cut apart at the tokens that end a pre-token."""
         ids = np.array(self.bare.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, self.kind)
         counts = np.fromiter((len(self.words.findall(c)) for c in chunks), np.int64, len(chunks))
