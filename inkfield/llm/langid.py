@@ -10,20 +10,19 @@ from __future__ import annotations
 
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfield.llm.common import arrow_map, pick
 from inkfield.llm.wordtok import per_worker
 
-SAMPLE_TEXTS = 400  # labelled texts taken a language, about
-SAMPLE_CHARS = 4_000  # characters taken of each
+SAMPLE_TEXTS = 400  # different labelled texts taken a language, at most
+SAMPLE_CHARS = 4_000  # characters taken of each, in a row, from a place that its hash tells
 DICTIONARY = 1 << 17  # bytes of a dictionary at most
 BLOCK = 1 << 10  # bytes compressed at a time
 MARGIN = 0.002  # least share of the bytes by which the winner has to be smaller
-RESOLVED = 64  # bytes from which the sizes tell margins that narrow apart
 UNKNOWN = "und"
-TOLD = "lang_pred string, score double, margin double, n_folded long"
+TOLD = "lang_pred string, score double, margin double"
 SCHEMA = f"doc_id long, {TOLD}"
 LETTER = regex.compile(r"\p{L}")
 SPACES = regex.compile(r"\s+")
@@ -38,20 +37,24 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A dictionary for each language among the labelled rows whose crc32(id) mod 3 is not 1,
     the language with the most rows first.
 
-    The sample is the texts with the smallest hashes, about `texts` for each language and
-    `chars` characters of each: its size does not grow with the table. Rows with a null
-    id, text or language teach nothing.
+    The sample is those different texts with the smallest hashes, at most `texts` for each language and
+    `chars` characters of each, from a place in the text that the hash tells: its size does not grow with the
+    table, and it does not depend on the order of rows. Rows with a null id, text or language teach nothing; a
+    row that is repeated teaches once.
     """
     rows = pick(df, id_col, text_col, lang_col).toDF("doc_id", "text", "lang")
-    taught = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (held_out(F.col("doc_id")) == F.lit(False)))
+    taught = rows.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     counts = dict(taught.groupBy("lang").count().collect())
     if not counts:
         return {}
-    spot = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 63) * min(1.0, texts / n)) - 1)])
-    some = taught.where(spot <= bound[F.col("lang")]).select("lang", spot.alias("spot"), F.substring("text", 1, chars).alias("text"))
+    spot = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 63) * min(1.0, 4 * texts / n)) - 1)])
+    begin = 1 + F.pmod(F.col("spot"), F.greatest(F.length("text") - chars + 1, F.lit(1)))
+    some = taught.withColumn("spot", spot).where(F.col("spot") <= bound[F.col("lang")]).select("lang", "spot", F.substring("text", begin, F.lit(chars)).alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    some = some.groupBy("lang", "spot").agg(F.min("text").alias("text")).withColumn("n", first).where(F.col("n") <= texts)
     sample: dict[str, list] = {k: [] for k in counts}
-    for lang, at, text in some.limit(4 * texts * len(counts)).collect():
+    for lang, at, text in some.select("lang", "spot", "text").collect():
         sample[lang].append((at, text))
     return {lang: dictionary([t for _, t in sorted(found)], size) for lang, found in sorted(sample.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
@@ -90,17 +93,16 @@ class Classifier:
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         return sorted((sum(len(c.compress(b)) for b in blocks), rank, lang) for rank, (lang, c) in enumerate(self.by_lang.items()))
 
-    def classify(self, text: str | None) -> tuple[str, float, float, int]:
-        """Language, score from 0 to 1, margin as a share of the smallest size, bytes looked at."""
+    def classify(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score from 0 to 1, margin as a share of the smallest size."""
         if not text or not self.by_lang or not LETTER.search(text):
-            return UNKNOWN, 0.0, 0.0, 0
-        raw = folded(text)
-        found = self.sizes(raw)
+            return UNKNOWN, 0.0, 0.0
+        found = self.sizes(folded(text))
         if len(found) == 1:
-            return found[0][2], 1.0, 1.0, len(raw)
+            return found[0][2], 1.0, 1.0
         best, other = found[0][0], found[1][0]
         margin = (other - best) / max(best, 1)
-        return found[0][2], min(1.0, 0.5 + 5 * margin), margin, len(raw)
+        return found[0][2], min(1.0, 0.5 + 5 * margin), margin
 
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, margin: float = MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -109,9 +111,8 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     The whole text is compressed. A null text or one without a letter is `und` with score 0, and rejected;
     so is everything if no language was learned. Other texts get the language with the
     smallest size (ties: the one with more labelled rows) and are rejected if the margin over
-    the second is under `margin`; a text of under 64 bytes is not, as there one byte is more
-    than such a margin. Repeated rows and null ids are rows like others; other columns are
-    ignored; an empty table gives no row.
+    the second is under `margin`, texts of any length alike; so a tie is rejected. Repeated rows and null
+    ids are rows like others; other columns are ignored; an empty table gives no row.
     """
     shipped = df.sparkSession.sparkContext.broadcast(dictionaries)
     key = ("language", hash(tuple(sorted(dictionaries.items()))), block)
@@ -130,14 +131,17 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
                 return
             found = [known.classify(t.as_py()) for t in batch.column(1)]
             told = {n: batch.column(i) for i, n in enumerate(names) if n in keep} if keep else {"doc_id": batch.column(0)}
-            yield told | {n: [x[i] for x in found] for i, n in enumerate(("lang_pred", "score", "margin", "n_folded"))}
+            yield told | {n: [x[i] for x in found] for i, n in enumerate(("lang_pred", "score", "margin"))}
 
         return step
 
-    narrow = (F.col("margin") < margin) & (F.col("n_folded") >= RESOLVED)
-    return arrow_map(rows, make, schema).withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | narrow).drop("n_folded")
+    return arrow_map(rows, make, schema).withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < margin))
 
 
 def language_digest(df: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, margin, rejected of every row, learned from the table itself.
+
+    held_out is false for a null id. With no row to learn from, all texts are `und`; an empty table gives no row.
+    """
     told = identify(df, learn(df))
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,6 +34,42 @@ def test_held_out_rows_teach_nothing(spark):
     assert list(learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == ["en"]
 
 
+def test_null_and_repeated_ids_do_not_crowd_out_the_others(spark):
+    en, null = "the of and to in that is was ", "qqq zzz xxx "
+    own = [(3 * k, f"{en}{k} " * 9, "en") for k in range(900)]
+    rows = own + [(None, f"{null}{k} " * 9, "en") for k in range(4000)] + [(own[0][0], own[0][1], "en")] * 4000 + [(None, null, "xx")]
+    both = [learn(spark.createDataFrame(x, "doc_id long, text string, lang string"), texts=100) for x in (rows, rows[::-1])]
+    assert both[0] == both[1] and list(both[0]) == ["en"]
+    told = both[0]["en"]
+    assert b"qqq" not in told and len({k for k in range(900) if b" %d " % k in told}) >= 50
+
+
+def test_sizes_are_those_of_plain_zstandard(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    told = learn(rows)
+    params = zstandard.ZstdCompressionParameters(compression_level=3, window_log=18, hash_log=17, chain_log=17, search_log=5, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def size(text, raw):
+        words = " ".join(text.lower().split()).encode()
+        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return sum(len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(words[i : i + 1024])) for i in range(0, len(words), 1024))
+
+    said = {r.doc_id: r for r in identify(rows, told).collect()}
+    texts = {r.doc_id: r.text for r in rows.collect() if r.text and len(r.text) < 4000}
+    assert len(texts) > 50
+    for k, text in texts.items():
+        sizes = sorted((size(text, raw), rank, lang) for rank, (lang, raw) in enumerate(told.items()))
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
+        assert (said[k].lang_pred, said[k].rejected) == (sizes[0][2], margin < 0.002) and abs(said[k].margin - margin) < 1e-12
+
+
+def test_a_tie_is_rejected_at_any_length(spark):
+    same = dictionary(["one two three four five six seven " * 9], 4096)
+    rows = spark.createDataFrame([(1, "one"), (2, "one two three " * 40), (3, "")], "doc_id long, text string")
+    assert [r.rejected for r in identify(rows, {"a": same, "b": same}).collect()] == [True] * 3
+    assert [r.rejected for r in identify(rows, {"a": same}).orderBy("doc_id").collect()] == [False, False, True]
+
+
 def test_language_of_messy_rows(messy, nothing):
     told = learn(messy)
     assert sorted(told) == ["en", "fr"] and learn(nothing) == {}
