@@ -1,7 +1,7 @@
-"""Label recognition: every block against the alias catalogue, without a join.
+"""Label recognition: texts against the alias catalogue.
 
-The catalogue is a few dozen literals of a compiled expression, so a block is matched where it
-is read; nothing is shuffled or broadcast.
+The catalogue is a few dozen literals of a compiled expression, so nothing is broadcast. Blocks repeat their texts,
+labels above all, so each different text is matched once and its label is joined back.
 """
 
 from __future__ import annotations
@@ -103,8 +103,22 @@ def bound(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.withColumn(name, F.explode(F.array(value)))
 
 
-def with_labels(blocks: DataFrame) -> DataFrame:
-    """The blocks with a column label, null where a block is none: a map of compiled steps."""
-    folded = bound(blocks, "_words", normalize(F.col("text"))).withColumn("_joined", F.replace("_words", F.lit(" "), F.lit("")))
+def matched(texts: DataFrame) -> DataFrame:
+    """text, label of a table of texts, label null where a text is none: a map of compiled steps."""
+    folded = bound(texts.select("text"), "_words", normalize(F.col("text"))).withColumn("_joined", F.replace("_words", F.lit(" "), F.lit("")))
     keyed = bound(folded, "_key", best_key(F.col("_words"), F.col("_joined")))
-    return bound(keyed, "label", told(F.col("text"), F.col("_words"), F.col("_joined"), F.col("_key"))).drop("_words", "_joined", "_key")
+    return bound(keyed, "label", told(F.col("text"), F.col("_words"), F.col("_joined"), F.col("_key"))).select("text", "label")
+
+
+def with_labels(blocks: DataFrame) -> DataFrame:
+    """The blocks with a column label, null where a block is none. A text that many blocks have is one row of the matching;
+    in the join back, adaptive execution splits it."""
+    texts = matched(blocks.where("text is not null").groupBy("text").agg(F.lit(1).alias("one")))
+    known = texts.where("label is not null").select(F.col("text").alias("_text"), "label")
+    return blocks.join(known, F.col("text") == F.col("_text"), "left").drop("_text")
+
+
+def grouped(labelled: DataFrame) -> DataFrame:
+    """doc_id, page, rows: the blocks of a page in one row. What is taken from it twice is shuffled and matched once, as
+    the exchange below is the same for both."""
+    return labelled.groupBy("doc_id", "page").agg(F.collect_list(F.struct("block_idx", "text", "confidence", "x1", "y1", "x2", "y2", "label")).alias("rows"))

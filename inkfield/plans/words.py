@@ -135,30 +135,62 @@ def distance(a: str, b: str, most: int) -> int:
     return min(row.get(len(b), most + 1), most + 1)
 
 
+def letters_of(words: str) -> int:
+    """A bit for each different character, characters shared out over 64 bits."""
+    found = 0
+    for c in set(words):
+        found |= 1 << (ord(c) & 63)
+    return found
+
+
+class Alias(NamedTuple):
+    field: str
+    words: str
+    start: str
+    compact: str
+    size: int
+    least: float
+    edits: int
+    shortest: float
+    longest: float
+    letters: int
+
+
+@cache
+def aliases() -> tuple[list[Alias], dict[str, list[Alias]], list[Alias]]:
+    """All aliases, longest first; those by the first letters of their compact form; those that edits are allowed in."""
+    every = [Alias(a["field"], a["alias"], a["alias"] + " ", a["compact"], a["size"], a["least"], a["edits"], a["size"] - a["slack"], a["size"] + a["slack"], letters_of(a["alias"])) for a in catalogue()]
+    heads: dict[str, list[Alias]] = {}
+    for a in every:
+        heads.setdefault(a.compact[:2], []).append(a)
+    return every, heads, [a for a in every if a.least < 1]
+
+
 @lru_cache(maxsize=20_000)
 def label_of(text: str) -> Label | None:
-    """The best alias of the catalogue for a text."""
+    """The best alias of the catalogue for a text: the most alike, of equally alike ones the longest."""
     words = normalize(text)
+    if not words:
+        return None
     joined = words.replace(" ", "")
-    best: tuple[float, dict] | None = None
-    for a in catalogue() if words else ():
-        if words == a["alias"] or words.startswith(a["alias"] + " "):
-            alike = 1.0
-        elif joined.startswith(a["compact"]):
-            alike = 0.99 if joined == a["compact"] else 0.98
-        elif a["least"] < 1 and abs(len(words) - a["size"]) <= a["slack"] and (d := distance(words, a["alias"], a["edits"])) <= a["edits"]:
-            alike = 1.0 - d / max(len(words), a["size"])
-            if alike < a["least"]:
-                continue
-        else:
-            continue
-        if best is None or alike > best[0] + 1e-9:
-            best = alike, a
+    _, heads, loose = aliases()
+    alike, best = 0.0, None
+    for a in heads.get(joined[:2], ()):
+        if joined.startswith(a.compact):
+            how = 1.0 if words == a.words or words.startswith(a.start) else 0.99 if joined == a.compact else 0.98
+            if how > alike + 1e-9:
+                alike, best = how, a
+    if alike < 0.98 - 1e-9:  # edits never bring so much again
+        size, letters = len(words), letters_of(words)
+        for a in loose:
+            if a.shortest <= size <= a.longest and (a.letters & ~letters).bit_count() <= a.edits >= (letters & ~a.letters).bit_count() and (d := distance(words, a.words, a.edits)) <= a.edits:
+                how = 1.0 - d / max(size, a.size)
+                if how >= a.least and how > alike + 1e-9:
+                    alike, best = how, a
     if best is None:
         return None
-    alike, a = best
-    starts = joined != a["compact"] and joined.startswith(a["compact"]) and alike >= 0.98
-    return Label(a["field"], a["alias"], alike, after_letters(text, len(a["compact"])) or None if starts else None)
+    starts = joined != best.compact and alike >= 0.98 and joined.startswith(best.compact)
+    return Label(best.field, best.words, alike, after_letters(text, len(best.compact)) or None if starts else None)
 
 
 def after_letters(text: str, count: int) -> str:
