@@ -16,8 +16,9 @@ from inkfield.operators import blocks as b
 from inkfield.operators import labels as lab
 from inkfield.options import Options
 from inkfield.plans.certificates import AT, HEADER, LABELS, LOOSE, VARIANTS, facts, rendered, table
-from inkfield.plans.parse import parse_blocks
-from inkfield.sources.wire import upload_kind
+from inkfield.plans.parse import envelope, log_lines, parse_blocks, summary
+from inkfield.sources.pages import render_scale
+from inkfield.sources.wire import model_blocks, read_bodies, upload_kind, wire_blocks
 
 TODAY = dt.date(2026, 1, 1)
 OPTIONS = Options(today=TODAY)
@@ -353,6 +354,68 @@ def json_props_scan(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+# A reply a certificate: every third block has its place as a polygon, texts are blank, without place or too sure here and there.
+BODY = """CASE pmod(cast(doc_id as bigint), 9) WHEN 7 THEN '<html>busy</html>' WHEN 8 THEN '{"success":false,"error":{"code":"ENGINE_CRASHED","message":"m"}}' ELSE json END"""
+STATUS = "CASE key % 9 WHEN 1 THEN 408 WHEN 2 THEN 503 WHEN 3 THEN NULL WHEN 4 THEN 504 WHEN 7 THEN CASE WHEN key % 2 = 0 THEN 200 ELSE 500 END WHEN 8 THEN CASE WHEN key % 2 = 0 THEN 200 ELSE 422 END ELSE 200 END"
+ANSWERED = f"answered AS (SELECT CAST(key AS VARCHAR) AS doc_id, key % 9 IN (0, 5, 6) AS fine, {STATUS} AS status, key FROM facts)"
+FAILED = "CASE WHEN status IS NULL OR status = 503 THEN 'OCR_SERVICE_UNAVAILABLE' WHEN status IN (408, 504) THEN 'OCR_SERVICE_TIMEOUT' WHEN key % 9 = 7 THEN 'OCR_FAILED' WHEN key % 9 = 8 THEN CASE WHEN status = 200 THEN 'OCR_FAILED' ELSE 'ENGINE_CRASHED' END END"
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The certificates as a recognition service would answer: doc_id, status, body (JSON)."""
+    rows = certificates(spark, sf_dir)
+    kind = F.pmod(F.col("block_idx"), F.lit(3))
+    box = F.when(kind != 0, F.struct("x1", "y1", "x2", "y2"))
+    corners = F.array(F.array("x1", "y1"), F.array("x2", "y1"), F.array("x2", "y2"))
+    polygon = F.when((kind == 0) & (F.col("block_idx") != 9), corners)
+    text = F.when(F.col("block_idx") == 11, "  ").otherwise(F.col("text"))
+    sure = F.when(F.col("block_idx") == 13, 1.4).when(F.col("block_idx") == 14, -0.2).otherwise(F.col("confidence"))
+    block = F.struct(F.col("block_idx").alias("i"), F.struct(text.alias("text"), sure.alias("confidence"), box.alias("box"), polygon.alias("polygon")).alias("b"))
+    pages = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(block)).alias("rows"))
+    page = F.struct("page", F.lit(1240).alias("width"), F.lit(1754).alias("height"), F.lit(0.0).alias("applied_rotation"), F.transform("rows", lambda r: r["b"]).alias("blocks"))
+    body = pages.select("doc_id", F.to_json(F.struct(F.lit(True).alias("success"), F.lit(5).alias("duration_ms"), F.lit("engine").alias("engine"), F.array(page).alias("pages"))).alias("json"))
+    return body.withColumn("key", F.col("doc_id").cast("long")).select("doc_id", F.expr(STATUS).alias("status"), F.expr(BODY).alias("body"))
+
+
+@query(f"WITH {FACTS}, {ANSWERED} SELECT doc_id, {FAILED} AS error FROM answered")
+def reply_failures(spark, sf_dir):
+    return read_bodies(answers(spark, sf_dir)).select("doc_id", "error")
+
+
+@query(f"WITH {BLOCKS}, {ANSWERED}, kept AS (SELECT b.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.block_idx) - 1 AS place FROM blocks b JOIN answered a ON a.doc_id = b.doc_id AND a.fine WHERE b.block_idx NOT IN (9, 11)) SELECT doc_id, place AS block_idx, text, CASE block_idx WHEN 13 THEN 1.0 WHEN 14 THEN 0.0 ELSE confidence END AS confidence, x1, y1, x2, y2 FROM kept")
+def reply_blocks(spark, sf_dir):
+    told = read_bodies(answers(spark, sf_dir)).where("error is null")
+    return wire_blocks(told).select("doc_id", F.col("block_idx").cast("long"), "text", "confidence", "x1", "y1", "x2", "y2")
+
+
+MODEL = "CASE WHEN vec_id % 4 = 3 THEN 0 ELSE 3 END"
+
+
+@query("""WITH e AS (SELECT vec_id, [round_even(CAST(v AS DOUBLE) * 100, 0) FOR v IN embedding] AS r, [CAST(v AS DOUBLE) FOR v IN embedding] AS e FROM embeddings),
+b AS (SELECT vec_id, i, r[4*i+1] AS a, r[4*i+2] AS b, r[4*i+3] AS c, r[4*i+4] AS d, CASE WHEN i < 2 THEN greatest(0.0, least(1.0, abs(e[i + 20]) * 10)) ELSE 0.0 END AS confidence, CASE i WHEN 1 THEN '   ' ELSE 't' || i END AS text FROM e, (SELECT unnest(range(4)) AS i)),
+k AS (SELECT vec_id, i, text, confidence, least(a, c) AS x1, least(b, d) AS y1, greatest(a, c) AS x2, greatest(b, d) AS y2 FROM b WHERE i <> 1 AND (i < 3 OR vec_id % 4 = 3))
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY y1, x1, i) - 1 AS place, text, round_even(confidence, 9) AS confidence, x1, y1, x2, y2 FROM k""")
+def model_results(spark, sf_dir):
+    """Texts with polygons and scores as a model gives them; every fourth has detected polygons only, the others one polygon too few."""
+    value = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    corners = lambda i: F.array(F.array(100 * value(4 * i), 100 * value(4 * i + 1)), F.array(100 * value(4 * i + 2), 100 * value(4 * i + 3)))
+    detected, scores = F.array(*[corners(i) for i in range(4)]), F.array(*[F.abs(value(i + 19)) * 10 for i in range(2)])
+    texts = F.array(F.lit("t0"), F.lit("   "), F.lit("t2"), F.lit("t3"))
+    made = model_blocks(texts, scores, F.slice(detected, F.lit(1), F.expr(MODEL)), detected)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(made).alias("place", "b"))
+    return rows.select("vec_id", F.col("place").cast("long"), "b.text", F.bround("b.confidence", 9).alias("confidence"), "b.box.*")
+
+
+PIXELS, SIDE, DPI = 40_000_000, 1600, 220
+
+
+@query(f"WITH p AS (SELECT p_partkey, 100.0 + p_partkey * 37 % 3000 AS w, 100.0 + p_size * 60 AS h FROM part) SELECT p_partkey, round_even(CASE WHEN w * ({DPI} / 72.0::DOUBLE) * (h * ({DPI} / 72.0::DOUBLE)) <= {PIXELS} THEN {DPI} / 72.0::DOUBLE ELSE sqrt({PIXELS}.0::DOUBLE / (w * h)) END, 9) AS scale FROM p")
+def page_scale(spark, sf_dir):
+    """Pixels to the point for pages of many sizes, under the limit of pixels."""
+    width, height = 100.0 + F.col("p_partkey") * 37 % 3000, 100.0 + F.col("p_size") * 60
+    return table(spark, sf_dir, "part").select("p_partkey", F.bround(render_scale(width, height, DPI, PIXELS), 9).alias("scale"))
+
+
 # geometry and joins
 
 
@@ -584,6 +647,28 @@ def substituted_numbers(spark, sf_dir):
     return rows.select("doc_id", "data.vkn", F.exists("warnings", lambda w: w["code"] == "DIGIT_SUBSTITUTION_APPLIED").alias("substituted"))
 
 
+@query(f"WITH {TRUE.replace('SELECT CAST(key', ', told AS (SELECT CAST(key', 1)}) SELECT doc_id, {' + '.join(f'CASE WHEN {c} IS NULL THEN 0 ELSE 1 END' for k, c in DATA.items() if c != 'raw')} AS n_found, coalesce(raw <> code, false) AS other_code FROM told")
+def found_fields(spark, sf_dir):
+    return summary(parsed(spark, sf_dir)).drop("n_fields")
+
+
+def s_mask(x: str) -> str:
+    return f"coalesce(repeat('*', length({x}) - 4) || right({x}, 4), '<none>')"
+
+
+@query(f"WITH {FACTS}, w AS (SELECT key, {WARNED} AS w, {NUMBER} AS v, {s_case((s_on('person'), 'tckn'))} AS t, {FREE} AS success FROM facts) SELECT CAST(key AS VARCHAR) AS doc_id, success, CASE WHEN success THEN 'VERGI_LEVHASI' ELSE 'UNKNOWN' END AS document_type, CASE WHEN NOT success THEN 'NOT_TAX_CERTIFICATE' END AS error, regexp_replace(w, ':[a-zA-Z]+', '', 'g') AS warnings, {s_mask('v')} AS masked_vkn, {s_mask('t')} AS masked_tckn FROM w")
+def masked_log(spark, sf_dir):
+    return log_lines(parsed(spark, sf_dir)).drop("overall")
+
+
+@query(f"""WITH {TRUE.replace('SELECT CAST(key', ', told AS (SELECT CAST(key', 1)}) SELECT doc_id, success, {', '.join(c for k, c in DATA.items())}, CASE WHEN success THEN 'VERGI_LEVHASI' ELSE 'UNKNOWN' END AS kind, NOT success AS has_error FROM told""")
+def json_envelope(spark, sf_dir):
+    """Results written as JSON and read again; members of data are there even if they are null."""
+    rows = envelope(parsed(spark, sf_dir))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    return rows.select("doc_id", (at("success") == "true").alias("success"), *[at(f"data.{k}").alias(c) for k, c in DATA.items()], at("documentType").alias("kind"), at("error").isNotNull().alias("has_error"))
+
+
 # A label over two lines is one box around both. The address's place counts as 0.9 whatever it is.
 SURE = f"""{JUDGED}, heads AS (SELECT doc_id, block_idx, similarity, x1, y1, x2, y2 FROM labelled UNION ALL SELECT CAST(key AS VARCHAR), 4, 1.0, 100.0, 298.0, 292.0, 404.0 FROM facts WHERE {s_on('label over two lines')}),
 wanted(field, l_idx, v_idx, form) AS (VALUES ('vkn', 4, 5, 1.0::DOUBLE), ('tckn', 4, 5, 1.0), ('ticaretUnvani', 6, 7, 1.0), ('adiSoyadi', 6, 7, 0.92), ('vergiDairesi', 8, 9, 0.92), ('iseBaslamaTarihi', 10, 11, 1.0), ('anaFaaliyetKodu', 12, 13, 1.0), ('anaFaaliyetAciklamasi', 14, 15, 0.92), ('adres', 16, 17, 0.92)),

@@ -14,5 +14,6 @@ RESULT = (
     + "data struct<" + ",".join(f"{f}:string" for f in (*FIELDS[:8], "anaFaaliyetKoduRaw", FIELDS[8])) + ">, "
     + f"validation struct<vkn:{VALIDITY},tckn:{VALIDITY},iseBaslamaTarihi:{VALIDITY}>, "
     + "confidence struct<overall:double,documentType:double," + ",".join(f"{f}:double" for f in FIELDS) + ">, "
-    + f"warnings array<{WARNING}>"
+    + f"warnings array<{WARNING}>, cause string"
 )
+RAW = "raw_blocks array<struct<page:int,text:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>, raw_pages array<struct<page:int,width:int,height:int,applied_rotation:double>>"

@@ -1,0 +1,77 @@
+"""Uploads as page images: a document opens as a row of pages, an image as one.
+
+What opens PDF files and photographs is a library of the user's choice, given as a function; PNG is read here. Pages are
+rendered one at a time, as many as are allowed and never at more pixels than are allowed.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from inkfield.functions.images import ImageRefused, decode_png, exif_orientation, guard_pixels, prepare, upright
+from inkfield.options import ImageOptions
+
+POINTS = 72.0  # of a PDF to the inch
+PAGES = "doc_id string, page int, n_pages int, width int, height int, applied_rotation double, pixels binary, error string"
+
+
+def render_scale(width: Column, height: Column, dpi: int, most_pixels: int) -> Column:
+    """Pixels to the point for a page of so many points; less than the resolution asks for where that gives too many pixels."""
+    asked = F.lit(dpi / POINTS)
+    return F.when(width * asked * (height * asked) <= most_pixels, asked).otherwise(F.sqrt(F.lit(float(most_pixels)) / (width * height)))
+
+
+def scale_of(width: float, height: float, options: ImageOptions) -> float:
+    asked = options.dpi / POINTS
+    return asked if (width * asked) * (height * asked) <= options.max_pixels else (options.max_pixels / (width * height)) ** 0.5
+
+
+def page_images(uploads: DataFrame, open_pdf: Callable | None = None, open_photo: Callable | None = None, options: ImageOptions | None = None) -> DataFrame:
+    """A row for each page of accepted uploads (path, content, upload.kind), prepared for recognition; or a row with an error.
+
+    open_pdf(bytes) gives a sequence of pages with width and height in points and render(scale), which returns an
+    array (height, width, 3 or 4; red first). open_photo(bytes) gives such an array. What cannot be opened, has no page or too many
+    pixels is one row with the error and no page; it never ends the job.
+    """
+    options = options or ImageOptions()
+
+    def images(content: bytes, kind: str) -> Iterator[tuple[int, int, np.ndarray]]:
+        if kind == "Png":
+            yield 1, 1, decode_png(content, options.max_pixels)
+        elif kind == "Jpeg" and open_photo:
+            found = blue_first(open_photo(content))
+            guard_pixels(found.shape[1], found.shape[0], options.max_pixels)
+            yield 1, 1, upright(found, exif_orientation(content))
+        elif kind == "Pdf" and open_pdf:
+            pages = open_pdf(content)
+            if not len(pages):
+                raise ImageRefused("INVALID_PDF", "no page")
+            for n in range(min(len(pages), options.max_pages)):
+                yield n + 1, len(pages), blue_first(pages[n].render(scale_of(pages[n].width, pages[n].height, options)))
+        else:
+            raise ImageRefused("UNSUPPORTED_MEDIA_TYPE", f"nothing opens {kind}")
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        columns = [c.split()[0] for c in PAGES.split(", ")]
+        for frame in frames:
+            for path, content, kind in zip(frame.path, frame.content, frame.kind, strict=True):
+                try:
+                    for page, total, image in images(bytes(content), kind):
+                        image, turned = prepare(image, options)
+                        yield pd.DataFrame([(path, page, total, image.shape[1], image.shape[0], turned, image.tobytes(), None)], columns=columns)
+                except Exception as failed:
+                    code = failed.code if isinstance(failed, ImageRefused) else "INVALID_PDF" if kind == "Pdf" else "INVALID_IMAGE"
+                    yield pd.DataFrame([(path, None, None, None, None, None, None, code)], columns=columns).astype(object)
+
+    return uploads.where("upload.error is null").select("path", "content", F.col("upload.kind").alias("kind")).mapInPandas(run, PAGES)
+
+
+def blue_first(image: np.ndarray) -> np.ndarray:
+    image = np.asarray(image, np.uint8)
+    return np.ascontiguousarray(np.repeat(image[..., None], 3, axis=2) if image.ndim == 2 else image[..., 2::-1])

@@ -26,6 +26,47 @@ def reply_error(replies: DataFrame) -> Column:
     return F.when(bad | ~F.coalesce(F.col("success"), F.lit(False)), "OCR_FAILED")
 
 
+def read_bodies(answers: DataFrame) -> DataFrame:
+    """Replies of an HTTP service (doc_id, status, body; status null if there was no answer) with a column error.
+
+    No answer and 503 are OCR_SERVICE_UNAVAILABLE, 408 and 504 OCR_SERVICE_TIMEOUT, another status that is no success the code that
+    the body tells, or OCR_FAILED. A success whose body does not read, or tells of a failure, is OCR_FAILED too.
+    """
+    fields = WIRE.removeprefix("doc_id string, ")
+    # A body that does not read has _corrupt; one of another shape is a failure without a code.
+    read = F.from_json("body", f"{fields}, error struct<code:string,message:string>, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = answers.withColumn("r", read)
+    sound = F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+    status = F.col("status")
+    error = (
+        F.when(status.isNull() | (status == 503), "OCR_SERVICE_UNAVAILABLE")
+        .when(status.isin(408, 504), "OCR_SERVICE_TIMEOUT")
+        .when(~status.between(200, 299), F.coalesce(F.when(sound, F.col("r.error.code")), F.lit("OCR_FAILED")))
+        .when(~sound | ~F.coalesce(F.col("r.success"), F.lit(False)), "OCR_FAILED")
+    )
+    names = [f.split()[0] for f in fields.split(", ")]
+    return rows.select("doc_id", error.alias("error"), *[F.when(error.isNull(), F.col(f"r.{n}")).alias(n) for n in names])
+
+
+def model_blocks(texts: Column, scores: Column, polygons: Column, detected: Column) -> Column:
+    """Blocks of the wire form from a model's lists, in the order of top and left edge.
+
+    The recognised polygons count, or if there are none the detected ones. A text that is null or blank, or has no polygon, is left out; a
+    missing score is 0, others go to between 0 and 1. Coordinates are rounded half to even.
+    """
+    chosen = F.when(F.coalesce(F.size(polygons), F.lit(0)) > 0, polygons).otherwise(detected)
+    whole = lambda v: F.bround(v).cast("double")
+
+    def block(text, n):
+        polygon = F.get(chosen, n)
+        xs, ys = F.transform(polygon, lambda p: F.get(p, F.lit(0))), F.transform(polygon, lambda p: F.get(p, F.lit(1)))
+        box = F.struct(whole(F.array_min(xs)).alias("x1"), whole(F.array_min(ys)).alias("y1"), whole(F.array_max(xs)).alias("x2"), whole(F.array_max(ys)).alias("y2"))
+        return F.struct(box["y1"].alias("top"), box["x1"].alias("left"), n.alias("n"), text.alias("text"), clamp(F.coalesce(F.get(scores, n), F.lit(0.0))).alias("confidence"), box.alias("box"), F.transform(polygon, lambda p: F.transform(p, whole)).alias("polygon"))
+
+    made = F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), block), lambda b: ~is_blank(b["text"]) & F.coalesce(F.size(b["polygon"]) > 0, F.lit(False)))
+    return F.transform(F.array_sort(made), lambda b: F.struct(b["text"].alias("text"), b["confidence"].alias("confidence"), b["box"].alias("box"), b["polygon"].alias("polygon")))
+
+
 def wire_blocks(replies: DataFrame) -> DataFrame:
     """doc_id, page, block_idx, text, confidence, x1, y1, x2, y2 of all blocks that have text and a place.
 
@@ -40,14 +81,15 @@ def wire_blocks(replies: DataFrame) -> DataFrame:
 
 
 def nested_blocks(replies: DataFrame) -> DataFrame:
-    """doc_id, n_pages, blocks of each reply, in one row and without a shuffle: the form streams use."""
+    """doc_id, n_pages, blocks, pages of each reply, in one row and without a shuffle: the form streams use."""
     pages = F.transform(
         "pages",
         lambda p: F.transform(p["blocks"], lambda b: F.struct(p["page"].alias("page"), b["text"].alias("text"), clamp(b["confidence"]).alias("confidence"), F.coalesce(b["box"], extent(b["polygon"])).alias("box"))),
     )
     kept = F.filter(F.flatten(pages), lambda b: ~is_blank(b["text"]) & b["box"].isNotNull())
     numbered = F.transform(kept, lambda b, n: F.struct(b["page"].alias("page"), n.alias("block_idx"), b["text"].alias("text"), b["confidence"].alias("confidence"), b["box"]["x1"].alias("x1"), b["box"]["y1"].alias("y1"), b["box"]["x2"].alias("x2"), b["box"]["y2"].alias("y2")))
-    return replies.select("doc_id", F.size("pages").alias("n_pages"), numbered.alias("blocks"))
+    sizes = F.transform("pages", lambda p: F.struct(*[p[n].alias(n) for n in ("page", "width", "height", "applied_rotation")]))
+    return replies.select("doc_id", F.size("pages").alias("n_pages"), numbered.alias("blocks"), sizes.alias("pages"))
 
 
 def kind_of(content: Column) -> Column:
@@ -68,9 +110,11 @@ def upload_kind(content: Column, length: Column, most: int) -> Column:
 
 
 def read_uploads(spark: SparkSession, path: str, most: int) -> DataFrame:
-    """Files with their kind or error; contents stay a binary column."""
+    """Files with their kind or error; contents stay a binary column. What is too large is not read: the source gets the bound on its length."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.withColumn("upload", upload_kind(F.col("content"), F.col("length"), most))
+    refused = files.where(F.col("length") > most).select("path", "modificationTime", "length").withColumn("content", F.lit(None).cast("binary"))
+    every = files.where(F.col("length") <= most).unionByName(refused)
+    return every.withColumn("upload", upload_kind(F.col("content"), F.col("length"), most))
 
 
 def recognise(uploads: DataFrame, engine: Callable[[], Callable[[bytes, str], list[dict]]]) -> DataFrame:
