@@ -4,14 +4,16 @@ Centroids come from a bounded sample by k-means whose large clusters are split u
 balanced. Every vector is posted to its nearest centroid and, if it lies near a boundary, to
 more of them. Lists that outgrow a page are kept in several pages, none is cut off.
 A query walks a neighbour graph of the centroids held in memory, best first, and takes all
-lists whose distance is within a ratio of the nearest one's, and further lists until they
-hold enough different ids for k neighbours. The vectors of the sample that lie in the lists of a
+lists that a ratio of distances keeps: from the nearest list on, in squares, up to a share of the way to
+the mean distance of all centroids, which is known in closed form; and further lists until they
+hold a fixed number of different ids. The vectors of the sample that lie in the lists of a
 query bound what each list has to return; the answer itself comes from the lists alone.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,13 @@ from pyspark.sql import functions as F
 from inkfield.llm.common import Written, arrow_map
 from inkfield.llm.vectors import matrix, numbered_vectors, sample, small_batches
 
-SAMPLE = 16_384  # vectors the index is fitted on
-LIST = 64  # vectors a list has on average, as long as there are few enough lists
-MOST_LISTS = 2_048
+SAMPLE = 32_768  # vectors the index is fitted on
+LIST = 50  # vectors a list has on average, as long as there are few enough lists
+MOST_LISTS = 4_096
 REPLICAS = 4  # lists a vector is posted to at most, its own among them
 BOUNDARY = 1.08  # a further list is as near as that times the nearest
-RATIO = 1.2  # a searched list is as near as that times the nearest
-LEAST_SEEN = 64  # different ids in the searched lists at least, if there are so many
+RATIO = 0.58  # share of the way from the nearest list to the mean one, in squares, that is searched
+LEAST_SEEN = 512  # different ids in the searched lists at least, if there are so many
 NEIGHBOURS = 24
 PAGE = 1_024
 QUERIES = 256  # queries compared with a page at a time
@@ -38,17 +40,22 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None], 0)
 
 
+def closest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Index of the nearest centre of each point, a slice of the distances at a time."""
+    return np.concatenate([squares(points[i : i + 1024], centres).argmin(1) for i in range(0, len(points), 1024)])
+
+
 def centroids(points: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
     """K-means, and then clusters of over twice the mean size are halved along their widest direction."""
     rng = np.random.default_rng(SEED)
     found = points[rng.choice(len(points), min(lists, len(points)), replace=False)].copy()
     for _ in range(rounds):
-        home = squares(points, found).argmin(1)
+        home = closest(points, found)
         for k in range(len(found)):
             own = points[home == k]
             if len(own):
                 found[k] = own.mean(0)
-    home = squares(points, found).argmin(1)
+    home = closest(points, found)
     todo, done = [points[home == k] for k in range(len(found)) if (home == k).any()], []
     most = max(2, 2 * len(points) // max(1, len(found)))
     while todo:
@@ -74,6 +81,7 @@ class Graph:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.points, self.sizes = points, sizes
+        self.middle, self.spread_square = points.mean(0), float((points**2).sum(1).mean())
         m = min(NEIGHBOURS, len(points) - 1)
         linked: list[set] = [set() for _ in points]
         for i in range(0, len(points), 512):
@@ -102,37 +110,43 @@ class Graph:
         more = np.linspace(0, len(self.points) - 1, min(16, len(self.points))).astype(np.int64)
         return np.unique(np.concatenate((entries, more)))
 
+    def mean_square(self, q: np.ndarray) -> float:
+        """Mean squared distance of all centroids."""
+        return float(q @ q - 2 * q @ self.middle + self.spread_square)
+
     def lists(self, q: np.ndarray, ratio: float, least: int = LEAST_SEEN) -> list[int]:
-        """Lists whose centroid is within the ratio of the nearest found, and more until `least` ids are seen."""
+        """Lists from the nearest found up to `ratio` of the way to the mean, and more until `least` ids are seen."""
         seen = np.zeros(len(self.points), bool)
         seen[self.entries] = True
-        heap = list(zip(np.linalg.norm(self.points[self.entries] - q, axis=1).tolist(), self.entries.tolist(), strict=True))
+        gaps = ((self.points[self.entries] - q) ** 2).sum(1)
+        heap = list(zip(gaps.tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(heap)
-        best, out = np.inf, []
+        best, far, out = np.inf, self.mean_square(q), []
         patience = held = 0
         while heap:
             gap, at = heapq.heappop(heap)
             best = min(best, gap)
             out.append((gap, at))
             held += self.sizes[at]
-            if gap > ratio * best:
+            if gap > best + ratio * max(far - best, 0.0):
                 patience += 1
                 if patience > 8 and held >= least:
                     break
             near = self.linked[at][~seen[self.linked[at]]]
-            seen[near] = True
-            for item in zip(np.linalg.norm(self.points[near] - q, axis=1).tolist(), near.tolist(), strict=True):
-                heapq.heappush(heap, item)
+            if len(near):
+                seen[near] = True
+                for item in zip(((self.points[near] - q) ** 2).sum(1).tolist(), near.tolist(), strict=True):
+                    heapq.heappush(heap, item)
         found, total = [], 0
         for gap, at in sorted(out):
-            if gap > ratio * best and total >= least:
+            if gap > best + ratio * max(far - best, 0.0) and total >= least:
                 break
             found.append(at)
             total += self.sizes[at]
         return found
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, ratio: float = RATIO, list_size: int = LIST, most_lists: int = MOST_LISTS, sample_size: int = SAMPLE) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, ratio: float = RATIO, list_size: int = LIST, most_lists: int = MOST_LISTS, sample_size: int = SAMPLE, least: int = LEAST_SEEN, tell=None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query.
 
     Queries are the rows whose id is divisible by `every`, candidates all rows of another
@@ -140,16 +154,21 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     counts from 1, ties go to the smaller id. All candidates are given if there are fewer than k. Vectors that are null, empty,
     zero or have a null or non-finite component take no part, nor do rows with a null id or with another
     length than most vectors have. Rows that repeat an id and a vector count once; of one id with
-    different vectors the nearest counts. Other columns are ignored; an empty table gives no row. The driver holds the
-    sample, centroids and list sizes, of fixed size.
+    different vectors the nearest counts as a candidate, and the least (component by component) asks as a query. Other
+    columns are ignored; an empty table gives no row. The driver holds the
+    sample, centroids and list sizes, of fixed size. tell, if given, is called with the mean share of the ids that a
+    query's lists hold, ids in several lists counted as often.
     """
     spark = df.sparkSession
     rows = numbered_vectors(df, id_col, vector_col).where("embedding is not null and vec_id is not null")
-    sizes = sorted(((n, -d) for d, n in rows.groupBy(F.size("embedding").alias("d")).count().collect()), reverse=True)
+    largest = F.max(F.array_max(F.transform("embedding", F.abs)))
+    sizes = sorted(((n, -d, top) for d, n, top in rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*"), largest).collect()), reverse=True)
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    total, dim = sizes[0][0], -sizes[0][1]
+    total, dim, scale = sizes[0][0], -sizes[0][1], 2.0 ** max(0, math.frexp(sizes[0][2])[1] - 400)  # a power of two: squares stay finite
     rows = rows.where(F.size("embedding") == dim)
+    if scale > 1:
+        rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x / scale))
     ids, some = sample(rows, "vec_id", sample_size, total)
     if not len(some):  # by chance none of a few rows
         ids, some = sample(rows, "vec_id", total, total)
@@ -187,7 +206,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     points = np.array([r["at"]["embedding"] for r in held_by], np.float64)
     ends = np.searchsorted([r["at"]["list"] for r in held_by], np.arange(len(middle) + 1))
     index = spark.sparkContext.broadcast((Graph(middle, alone), known, points, ends))
-    least = max(LEAST_SEEN, k) + 1  # the query's own id is among them
+    least = max(least, k) + 1  # the query's own id is among them
 
     def ask():
         def step(batch):
@@ -203,13 +222,16 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
         return step
 
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    asked = arrow_map(queries, ask, "list int, query_id long, query array<double>, bound double")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = Written(arrow_map(queries, ask, "list int, query_id long, query array<double>, bound double"), "asked")
+    if tell:
+        held = F.create_map(*[F.lit(x) for i, n in enumerate(counts) for x in (i, int(n))])
+        tell(asked.read().groupBy("query_id").agg(F.sum(held[F.col("list")]).alias("n")).agg(F.avg("n")).first()[0] / max(1, int(alone.sum())))
     pages = spark.createDataFrame([(i, max(1, -(-int(n) // PAGE))) for i, n in enumerate(counts)], "list int, pages int")
     dealt = posted.read().join(F.broadcast(pages), "list").withColumn("page", F.pmod(F.xxhash64("vec_id"), F.col("pages")))
     held = dealt.groupBy("list", "page").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("embedding").alias("vectors"))
     groups = max(1, total // every // QUERIES)
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("list", "block").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query").alias("queries"), F.collect_list("bound").alias("bounds"))
+    blocks = asked.read().withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("list", "block").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query").alias("queries"), F.collect_list("bound").alias("bounds"))
     met = blocks.join(held, "list").select("query_ids", "queries", "bounds", "ids", "vectors")
 
     def compare():
@@ -234,7 +256,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
     with small_batches(spark, 16):
         found = Written(arrow_map(met, compare, "query_id long, vec_id long, score double"), "found")
-    posted.drop()
-    once = found.read().groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    for t in (posted, asked):
+        t.drop()
+    once = found.read().groupBy("query_id", "vec_id").agg((F.min("score") * scale).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

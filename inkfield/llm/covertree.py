@@ -1,14 +1,16 @@
 """Near-duplicate vectors by a dual traversal of cover trees.
 
 Vectors of length one are as near as their angle is small: cosine >= t means a distance
-of at most sqrt(2 - 2t). A bounded sample gives the top of the tree: nested nets with
-halving radii, whose last level that is small enough makes cells. Vectors go to the nearest
-centre; a cell's covering radius is taken over all of its vectors, and cells that lie further
-apart than both radii and the distance sought never meet. What is left are pairs of
-pages, bounded parts of cells. For each pair two cover trees are walked together:
-node pairs out of reach are pruned, node pairs within reach as a whole are linked
-unseen, and leaves are compared exactly. A pair of pages returns counts for each vector and the
-classes it joins, never the links one by one.
+of at most sqrt(2 - 2t). The top of the tree comes from a bounded sample: points taken farthest
+first are nested nets, the points taken at a distance over a radius being the net of that
+radius. Each of them roots a subtree, of the vectors nearest to it. Subtrees that lie beside each other in the tree
+share a page, as far as they fit; a subtree larger than a page is dealt into pages. Covering radii are taken over all
+vectors, and pages none of whose subtrees come within both radii and the distance sought never meet.
+
+Every page grows its cover tree once: a node's children are a net of half its covering radius, down to
+single vectors or a few. For a pair of pages the two trees are walked together: node pairs out of reach
+are pruned, node pairs wholly within reach are linked unseen, leaves are compared exactly. A pair of
+pages returns counts for each vector and the classes it joins, never the links one by one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,103 +27,156 @@ from inkfield.llm.linkage import components
 from inkfield.llm.vectors import matrix, numbered_vectors, sample, small_batches
 
 SAMPLE = 4096  # vectors the top of the tree is made of
-CELLS = 128  # cells at most
+SUBTREES = 1024  # subtrees at most
 PAGE = 2048  # vectors of a page, about
-LEAF = 128  # vectors of a leaf, unless its vectors are all far apart
-EDGE = 1e-9  # what bounds on distances give way, for rounding
+TOGETHER = 4  # pages a side that a task holds at a time: every page travels that many times less
+LEAF = 4  # vectors of a leaf at most, unless they are all equal but for rounding
+EDGE = 1e-7  # what bounds on distances give way, for rounding
+NODE = np.dtype([("start", "<i4"), ("end", "<i4"), ("centre", "<i4"), ("first", "<i4"), ("last", "<i4"), ("radius", "<f8")])
 
 
-def net(points: np.ndarray, radius: float, first: list[int], most: int) -> list[int]:
-    """Indices of points more than radius apart that cover all, the given ones first; stops over `most`."""
-    chosen = list(first) or [0]
-    least = np.min([np.linalg.norm(points - points[c], axis=1) for c in chosen], axis=0)
-    while len(chosen) <= most and (at := int(least.argmax())) >= 0 and least[at] > radius:
+def tops(points: np.ndarray, most: int) -> np.ndarray:
+    """Points taken farthest first until the rest lies within 1e-3 or there are `most`; in the order of the tree they make.
+
+    The parent of a point is the nearest one of a net of at least twice the radius at which the point was taken.
+    """
+    chosen, taken = [0], [4.0]
+    least = np.linalg.norm(points - points[0], axis=1)
+    while len(chosen) < min(most, len(points)) and least.max() > 1e-3:
+        at = int(least.argmax())
         chosen.append(at)
+        taken.append(float(least[at]))
         least = np.minimum(least, np.linalg.norm(points - points[at], axis=1))
-    return chosen
-
-
-def centres(points: np.ndarray, most: int) -> np.ndarray:
-    """The lowest level of nested nets (radii 2, 1, 1/2, ...) that has at most `most` points."""
-    level, radius = [0], 2.0
-    while radius > 1e-3:
-        finer = net(points, radius, level, most)
-        if len(finer) > most:
-            break
-        level, radius = finer, radius / 2
-    return points[level]
-
-
-class Node:
-    __slots__ = ("centre", "children", "radius", "rows")
-
-    def __init__(self, rows: np.ndarray, centre: np.ndarray, radius: float, children: list):
-        self.rows, self.centre, self.radius, self.children = rows, centre, radius, children
-
+    found, level = points[chosen], np.floor(np.log2(taken))
+    kids: list[list[int]] = [[] for _ in chosen]
+    for i in range(1, len(chosen)):
+        above = max(1, int((level[:i] > level[i]).sum()))
+        kids[int(np.linalg.norm(found[:above] - found[i], axis=1).argmin())].append(i)
+    order, todo = [], [0]
+    while todo:
+        order.append(todo.pop())
+        todo += reversed(kids[order[-1]])
+    return found[order]
 
-def tree(points: np.ndarray, rows: np.ndarray, at: int | None = None) -> Node:
-    """Cover tree over some rows: children cover with half the radius at most, down to leaves."""
-    centre = points[rows[0] if at is None else at]
-    away = np.linalg.norm(points[rows] - centre, axis=1)
-    radius = float(away.max())
-    children: list[Node] = []
-    if len(rows) > LEAF and radius > 1e-6:
-        part = points[rows]
-        chosen = net(part, radius / 2, [], most=max(8, len(rows) // 16))
-        if 1 < len(chosen) <= max(8, len(rows) // 16):  # else the vectors are too far apart for levels to help
-            home = np.argmin(((part[:, None, :] - part[chosen][None]) ** 2).sum(-1) if len(rows) * len(chosen) < 20_000 else 2 - 2 * part @ part[chosen].T, axis=1)
-            children = [tree(points, rows[home == k], rows[c]) for k, c in enumerate(chosen) if (home == k).any()]
-    return Node(rows, centre, radius, children)
 
+def grown(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cover tree of a page: the order of its rows, and nodes over ranges of them, children side by side.
 
-def walk(a: Node, b: Node, x: np.ndarray, y: np.ndarray, reach: float, cosine: float, hit: np.ndarray) -> None:
-    """Marks in hit the pairs of rows of x and y whose cosine is at least the threshold."""
-    todo = [(a, b)]
+    Children cover at most half the radius that their parent does; single vectors come last among them.
+    """
+    away = np.sqrt(np.maximum(2 - 2 * (points @ points.T), 0))
+    order, nodes = np.arange(len(points)), [(0, len(points), 0, 0, 0, float(away[0].max()))]
+    for i, (start, end, head, _, _, radius) in enumerate(nodes):  # the list grows while it is walked; centres are rows as given
+        if end - start <= LEAF or radius <= 1e-6:
+            continue
+        left, groups, centre = order[start:end], [], head
+        while len(left):
+            near = away[head, left] <= radius / 2
+            near[left == head] = True
+            groups.append((head, left[near]))
+            left = left[~near]
+            head = left[0] if len(left) else None
+        groups.sort(key=lambda g: len(g[1]) == 1)
+        nodes[i] = (start, end, centre, len(nodes), len(nodes) + len(groups), radius)
+        at = start
+        for head, rows in groups:
+            order[at : at + len(rows)] = rows
+            nodes.append((at, at + len(rows), head, 0, 0, float(away[head, rows].max()) if len(rows) > 1 else 0.0))
+            at += len(rows)
+    place = np.argsort(order)
+    return order, np.array([(start, end, place[c], *rest) for start, end, c, *rest in nodes], NODE)
+
+
+class Tree:
+    """A page's vectors in the order of its nodes."""
+
+    def __init__(self, points: np.ndarray, nodes: np.ndarray):
+        self.points, self.rough, self.nodes = points, points.astype(np.float32), nodes
+
+    def parts(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes below node i, or itself: those of several vectors and those of one."""
+        node = self.nodes[i]
+        kids = np.arange(node["first"], node["last"]) if node["last"] else np.array([i])
+        lone = self.nodes["end"][kids] - self.nodes["start"][kids] == 1
+        return kids[~lone], kids[lone]
+
+    def rows(self, i: int) -> slice:
+        return slice(*self.nodes[i][["start", "end"]].item())
+
+
+def compare_rows(a: Tree, b: Tree, rows: np.ndarray, others: np.ndarray, cosine: float, hit: np.ndarray) -> int:
+    """Marks the rows within reach, in double precision; single precision leaves out most. Returns the pairs looked at."""
+    if not len(rows) or not len(others):
+        return 0
+    slack = a.points.shape[1] * 2.0**-22
+    p, q = np.nonzero(a.rough[rows] @ b.rough[others].T >= np.float32(cosine - slack))
+    p, q = rows[p], others[q]
+    for i in range(0, len(p), 1 << 14):
+        x, y = a.points[p[i : i + (1 << 14)]], b.points[q[i : i + (1 << 14)]]
+        dots = np.einsum("ij,ij->i", x, y)
+        found = dots >= cosine
+        for k in np.flatnonzero(np.abs(dots - cosine) < 1e-12).tolist():  # rounding decides: once more with an exact sum
+            found[k] = math.fsum(x[k] * y[k]) >= cosine
+        hit[p[i : i + (1 << 14)][found], q[i : i + (1 << 14)][found]] = True
+    return len(rows) * len(others)
+
+
+def compare_lone(a: Tree, rows: np.ndarray, cosine: float, hit: np.ndarray) -> int:
+    """Rows with those that come after them, a strip at a time."""
+    return sum(compare_rows(a, a, rows[i : i + 256], rows[i:], cosine, hit) for i in range(0, len(rows), 256))
+
+
+def walk(a: Tree, b: Tree, reach: float, cosine: float, hit: np.ndarray) -> int:
+    """Marks in hit the rows of a and b whose cosine is at least the threshold; of a tree with itself each pair at least one
+    way round. Returns how many distances it took."""
+    todo, looked = [(0, 0)], 0
     while todo:
-        a, b = todo.pop()
-        apart = float(np.linalg.norm(a.centre - b.centre))
-        if apart > a.radius + b.radius + reach + EDGE:
+        i, j = todo.pop()
+        same = a is b and i == j
+        if not a.nodes["last"][i] and not b.nodes["last"][j]:
+            looked += compare_rows(a, b, np.arange(*a.rows(i).indices(len(hit))), np.arange(*b.rows(j).indices(hit.shape[1])), cosine, hit)
             continue
-        if apart + a.radius + b.radius < reach - EDGE:
-            hit[np.ix_(a.rows, b.rows)] = True
-        elif a.children and (a.radius >= b.radius or not b.children):
-            todo += [(c, b) for c in a.children]
-        elif b.children:
-            todo += [(a, c) for c in b.children]
-        else:
-            for i in range(0, len(a.rows), 512):
-                rows = a.rows[i : i + 512]
-                dots = x[rows] @ y[b.rows].T
-                close = np.argwhere(np.abs(dots - cosine) < 1e-12)
-                found = dots >= cosine
-                for p, q in close:  # rounding decides: once more with an exact sum
-                    found[p, q] = math.fsum(x[rows[p]] * y[b.rows[q]]) >= cosine
-                hit[np.ix_(rows, b.rows)] = found
-
-
-def page_links(ids: tuple, copies: tuple, x: np.ndarray, y: np.ndarray, same: bool, reach: float, cosine: float):
-    """Links of two pages: (item, other vectors linked) and (item, class) of what has a link."""
-    hit = np.zeros((len(x), len(y)), bool)
-    a = tree(x, np.arange(len(x)))
-    walk(a, a if same else tree(y, np.arange(len(y))), x, y, reach, cosine, hit)
+        (groups, lone), (others, alone) = a.parts(i), b.parts(j)
+        looked += compare_lone(a, a.nodes["start"][lone], cosine, hit) if same else compare_rows(a, b, a.nodes["start"][lone], b.nodes["start"][alone], cosine, hit)
+        for xs, ys in ((groups, others), (groups, alone)) if same else ((groups, others), (groups, alone), (lone, others)):
+            if not len(xs) or not len(ys):
+                continue
+            apart = np.sqrt(np.maximum(2 - 2 * (a.points[a.nodes["centre"][xs]] @ b.points[b.nodes["centre"][ys]].T), 0))
+            both = a.nodes["radius"][xs][:, None] + b.nodes["radius"][ys][None]
+            looked += apart.size
+            inside = apart + both < reach - EDGE
+            for p, q in np.argwhere(apart <= both + reach + EDGE).tolist():
+                if same and xs is groups and ys is others and p > q:
+                    continue
+                if inside[p, q]:
+                    hit[a.rows(xs[p]), b.rows(ys[q])] = True
+                else:
+                    todo.append((xs[p], ys[q]))
+    return looked
+
+
+def page_links(ids: tuple, copies: tuple, a: Tree, b: Tree, same: bool, reach: float, cosine: float):
+    """Links of two pages: (item, other vectors linked), (item, class) of what has a link, and the distances taken."""
+    hit = np.zeros((len(a.points), len(b.points)), bool)
+    looked = walk(a, b, reach, cosine, hit)
     if same:
+        hit |= hit.T.copy()
         np.fill_diagonal(hit, False)
-    counts = [(ids[0], hit @ copies[1])] + ([] if same else [(ids[1], copies[0] @ hit)])
     rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
     hit = hit[np.ix_(rows, columns)]
+    counts = [(ids[0][rows], hit @ copies[1][columns])] + ([] if same else [(ids[1][columns], copies[0][rows] @ hit)])
     left, right = ids[0][rows].copy(), ids[1][columns].copy()
     while len(left):  # the smallest item of what is joined spreads until nothing changes
         top = np.iinfo(np.int64).max
         to_right = np.minimum(right, np.where(hit, left[:, None], top).min(0))
         to_left = np.minimum(left, np.where(hit, to_right[None, :], top).min(1))
         if same:
-            both = np.minimum(to_left, to_right)
-            to_left = to_right = both
+            to_left = to_right = np.minimum(to_left, to_right)
         if (to_left == left).all() and (to_right == right).all():
             break
         left, right = to_left, to_right
     joined = np.concatenate((ids[0][rows], ids[1][columns])), np.concatenate((left, right))
-    return counts, joined
+    return counts, joined, looked
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -128,7 +184,31 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, page: int = PAGE, cells: int = CELLS) -> DataFrame:
+def layout(sizes: np.ndarray, page: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit of each subtree, and pages of each unit: a subtree larger than a page is a unit, others share one as far as they fit."""
+    unit_of, pages, held = np.zeros(len(sizes), np.int64), [], page + 1
+    for i, n in enumerate(sizes.tolist()):
+        if n > page or held + n > page:
+            pages.append(-(-n // page))
+            held = page + 1 if n > page else 0
+        held += n
+        unit_of[i] = len(pages) - 1
+    return unit_of, np.array(pages, np.int64)
+
+
+def meeting(points: np.ndarray, radii: np.ndarray, unit_of: np.ndarray, reach: float) -> np.ndarray:
+    """Pairs of units (the smaller first) some of whose subtrees come within reach of each other."""
+    pairs = []
+    starts = np.flatnonzero(np.r_[True, unit_of[1:] != unit_of[:-1]])
+    for u, (at, end) in enumerate(zip(starts, [*starts[1:], len(unit_of)], strict=True)):
+        apart = np.sqrt(np.maximum(2 - 2 * (points[at:end] @ points.T), 0))
+        near = (apart <= radii[at:end, None] + radii[None] + reach + EDGE).any(0)
+        met = np.flatnonzero(np.logical_or.reduceat(near, starts))
+        pairs.append(np.stack((np.full(len(met), u), met))[:, met >= u])
+    return np.concatenate(pairs, axis=1)
+
+
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, page: int = PAGE, subtrees: int = SUBTREES, tell=None) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each vector.
 
     Vectors are linked from the given cosine, in double precision; equal vectors always are. n_links counts the
@@ -137,7 +217,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     different lengths never are. Rows with a null id count like others but are never kept; a
     component's id is the smallest that is not null. Repeated rows are rows of their own. Other columns are
     ignored; an empty table gives no row. Equal vectors are compared once. The driver holds a sample
-    and the cells' centres and radii, of fixed size.
+    and the subtrees' roots and radii, of fixed size, and the pairs of units that meet, at most
+    half of SUBTREES squared for each length. tell, if given, is called with the pairs of different vectors and the distances taken.
     """
     spark = df.sparkSession
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
@@ -145,8 +226,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     grouped = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     items = Written(grouped.select("embedding", "rep", "copies", F.monotonically_increasing_id().alias("item"), F.size("embedding").alias("dim")), "vectors")
     sizes = dict(items.read().groupBy("dim").count().collect())
-    tops = {d: centres(unit(sample(items.read().where(F.col("dim") == d), "item", SAMPLE, n)[1]), cells) for d, n in sizes.items()}
-    shipped = spark.sparkContext.broadcast(tops)
+    if not sizes:
+        return told(rows, None, None, None)
+    roots = {d: tops(unit(sample(items.read().where(F.col("dim") == d), "item", SAMPLE, n)[1]), subtrees) for d, n in sizes.items()}
+    shipped = spark.sparkContext.broadcast(roots)
 
     def homes():
         def step(batch):
@@ -156,8 +239,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             for d in np.unique(dims):
                 part = batch.filter(dims == d)
                 x = unit(matrix(part.column(0)))
-                gaps = 2 - 2 * x @ shipped.value[d].T
-                home = gaps.argmin(1)
+                home = (x @ shipped.value[d].T).argmax(1)
                 away = np.linalg.norm(x - shipped.value[d][home], axis=1)
                 yield {"item": part.column(2), "copies": part.column(1), "embedding": part.column(0), "dim": part.column(3), "cell": home, "away": away}
 
@@ -165,56 +247,74 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     placed = Written(arrow_map(items.read().select("embedding", "copies", "item", "dim"), homes, "item long, copies long, embedding array<double>, dim int, cell int, away double"), "cells")
     found = placed.read().groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
-    pages, pairs = [], []
-    for i, a in enumerate(found):
-        pages.append((a.dim, a.cell, -(-a.n // page)))
-        for b in found[i:]:
-            apart = float(np.linalg.norm(tops[a.dim][a.cell] - tops[b.dim][b.cell])) if a.dim == b.dim else math.inf
-            if apart <= a.radius + b.radius + reach + EDGE:
-                pairs.append((a.dim, a.cell, b.cell))
-    if not found:
-        return told(rows, None, None, None)
-    number = spark.createDataFrame(pages, "dim int, cell int, pages long")
-    dealt = placed.read().join(F.broadcast(number), ["dim", "cell"]).withColumn("page", F.pmod(F.xxhash64("item"), F.col("pages")))
-    bound = Written(dealt.groupBy("dim", "cell", "page").agg(F.collect_list("item").alias("items"), F.collect_list("copies").alias("copies"), F.collect_list("embedding").alias("vectors")), "pages")
+    cells, pairs, base = [], [], 0
+    for d in sizes:
+        own = sorted((r for r in found if r.dim == d), key=lambda r: r.cell)
+        unit_of, pages = layout(np.array([r.n for r in own]), page)
+        starts = base + np.cumsum(pages) - pages  # numbers of the units' first pages
+        cells += [(d, r.cell, int(starts[u]), int(pages[u])) for r, u in zip(own, unit_of, strict=True)]
+        met = meeting(roots[d][[r.cell for r in own]], np.array([r.radius for r in own]), unit_of, reach)
+        pairs.append(pa.table({"a": starts[met[0]], "to_a": (starts + pages)[met[0]] - 1, "b": starts[met[1]], "to_b": (starts + pages)[met[1]] - 1}))
+        base += int(pages.sum())
+    dealt = placed.read().join(F.broadcast(spark.createDataFrame(cells, "dim int, cell int, first long, pages long")), ["dim", "cell"]).withColumn("page", F.col("first") + F.pmod(F.xxhash64("item"), F.col("pages")))
+    listed = dealt.groupBy("page").agg(F.first("dim").alias("dim"), F.collect_list("item").alias("items"), F.collect_list("copies").alias("copies"), F.collect_list("embedding").alias("vectors"))
+
+    def grow():
+        def step(batch):
+            for i in range(batch.num_rows if batch is not None else 0):
+                ids, copies, x = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy(), unit(matrix(batch.column(4)[i].values))
+                order, nodes = grown(x)
+                yield {"page": batch.column(0).slice(i, 1), "dim": batch.column(1).slice(i, 1), "ids": [ids[order].tobytes()], "copies": [copies[order].tobytes()], "points": [x[order].tobytes()], "nodes": [nodes.tobytes()]}
+
+        return step
+
+    with small_batches(spark, 2):
+        bound = Written(arrow_map(listed, grow, "page long, dim int, ids binary, copies binary, points binary, nodes binary"), "pages")
     placed.drop()
-    listed = bound.read().select("dim", "cell", "page")
-    met = spark.createDataFrame(pairs, "dim int, ca int, cb int")
-    met = met.join(listed.toDF("dim", "ca", "pa"), ["dim", "ca"]).join(listed.toDF("dim", "cb", "pb"), ["dim", "cb"]).where("ca <> cb or pa <= pb")
-    left, right = bound.read().toDF("dim", "ca", "pa", "ia", "na", "va"), bound.read().toDF("dim", "cb", "pb", "ib", "nb", "vb")
-    both = met.join(left, ["dim", "ca", "pa"]).join(right, ["dim", "cb", "pb"]).select((F.expr("ca = cb and pa = pb")).alias("same"), "ia", "na", "va", "ib", "nb", "vb")
+    met = spark.createDataFrame(pa.concat_tables(pairs)).select(F.explode(F.sequence("a", "to_a")).alias("a"), "b", "to_b").select("a", F.explode(F.sequence("b", "to_b")).alias("b")).where("a <= b")
+    met = met.withColumn("left", F.expr(f"a div {TOGETHER}")).withColumn("right", F.expr(f"b div {TOGETHER}"))
+    asked = met.groupBy("left", "right").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    needed = met.select("left", "right", F.explode(F.array("a", "b")).alias("page")).distinct()
+    held = needed.join(bound.read(), "page").groupBy("left", "right").agg(F.collect_list(F.struct("page", "dim", "ids", "copies", "points", "nodes")).alias("pages"))
+    both = asked.join(held, ["left", "right"]).select("pairs", "pages")
 
     def compare():
         def step(batch):
-            if batch is None:
-                return
-            for i in range(batch.num_rows):
-                ia, na, va, ib, nb, vb = (batch.column(c)[i].values for c in range(1, 7))
-                x, y = unit(matrix(va)), unit(matrix(vb))
-                ids, copies = (ia.to_numpy(), ib.to_numpy()), (na.to_numpy(), nb.to_numpy())
-                counts, (nodes, classes) = page_links(ids, copies, x, y, batch.column(0)[i].as_py(), reach, cosine)
-                for own, n in counts:
-                    some = n > 0
-                    yield {"item": own[some], "links": n[some], "joined": np.full(int(some.sum()), -1)}
-                yield {"item": nodes, "links": np.zeros(len(nodes), np.int64), "joined": classes}
+            for i in range(batch.num_rows if batch is not None else 0):
+                pages, own = batch.column(1)[i].values, {}
+                for k in range(len(pages)):
+                    page, dim = (pages.field(c)[k].as_py() for c in range(2))
+                    ids, copies, x, nodes = (np.frombuffer(pages.field(c)[k].as_buffer(), t) for c, t in ((2, "<i8"), (3, "<i8"), (4, "<f8"), (5, NODE)))
+                    own[page] = dim, ids, copies, Tree(x.reshape(-1, dim), nodes)
+                for pair in batch.column(0)[i].as_py():
+                    (dim, ia, na, a), (other, ib, nb, b) = own[pair["a"]], own[pair["b"]]
+                    if dim != other:  # no pages of different lengths are paired
+                        raise AssertionError("pages of different lengths")
+                    counts, (nodes, classes), looked = page_links((ia, ib), (na, nb), a, b, a is b, reach, cosine)
+                    for mine, n in counts:
+                        yield {"item": mine, "links": n, "joined": np.full(len(mine), -1)}
+                    yield {"item": nodes, "links": np.zeros(len(nodes), np.int64), "joined": classes}
+                    yield {"item": [-1], "links": [looked], "joined": [-2]}
 
         return step
 
-    with small_batches(spark, 2):
+    with small_batches(spark, 1):
         links = Written(arrow_map(both, compare, "item long, links long, joined long"), "links")
     bound.drop()
-    summed = links.read().groupBy("item").agg(F.sum("links").alias("links"))
+    if tell:
+        tell(sum(n * (n - 1) // 2 for n in sizes.values()), links.read().where("joined = -2").agg(F.sum("links")).first()[0])
+    summed = links.read().where("joined = -1").groupBy("item").agg(F.sum("links").alias("links"))
     classes = components(links.read().where("joined >= 0 and joined <> item").select(F.col("item").alias("a"), F.col("joined").alias("b")))
     return told(rows, items, summed, classes)
 
 
 def told(rows: DataFrame, items: Written | None, summed: DataFrame | None, classes: Written | None) -> DataFrame:
-    if items is None:
-        known = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    else:
+    alone = rows if items is None else rows.where("embedding is null")
+    known = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if items is not None:
         each = items.read().select("embedding", "rep", "copies", "item").join(summed, "item", "left").join(classes.read().withColumnRenamed("node", "item"), "item", "left")
         each = each.withColumn("component", F.coalesce("component", "item"))
         least = each.groupBy("component").agg(F.min("rep").alias("component_id"))
-        each = each.join(least, "component").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.lit(True).alias("valid"))
-        known = rows.join(each, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+        each = each.join(least, "component").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+        known = known.unionByName(rows.where("embedding is not null").join(each, "embedding").select("vec_id", "n_links", "component_id"))
     return known.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

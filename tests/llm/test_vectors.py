@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from inkfield.llm.ann import Graph, centroids, nearest
-from inkfield.llm.covertree import near_vectors, page_links, tree, unit, walk
+from inkfield.llm.covertree import Tree, grown, layout, meeting, near_vectors, page_links, tops, unit, walk
 
 SCHEMA = "vec_id long, embedding array<double>, VEC_ID string, n_links int"
 
@@ -27,7 +27,7 @@ def usable(e, dim=12):
 def test_near_vectors_against_all_pairs(spark):
     rows = cloud(1, 700, 9, 12, 0.5) + ODD
     rows += [(8000 + i, rows[3][1]) for i in range(40)] + [(7000, [2 * x for x in rows[5][1]])] + [(rows[8][0], rows[8][1])]
-    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(vectors(spark, rows), page=150, cells=20).collect())
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(vectors(spark, rows), page=150, subtrees=20).collect())
     good = [(i, e) for i, e in rows if usable(e)]
     x = np.array([e for _, e in good])
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -57,15 +57,67 @@ def test_vectors_of_no_use(spark):
 def test_the_walk_finds_exactly_the_close_pairs(noise):
     x = unit(np.array([e for _, e in cloud(2, 500, 4, 8, noise)]))
     y = unit(np.array([e for _, e in cloud(2, 420, 4, 8, noise)])[::-1].copy())
+    a, b = planted(x), planted(y)
     hit = np.zeros((len(x), len(y)), bool)
-    walk(tree(x, np.arange(len(x))), tree(y, np.arange(len(y))), x, y, (2 - 1.9) ** 0.5, 0.95, hit)
-    assert (hit == (x @ y.T >= 0.95)).all()
+    looked = walk(a, b, (2 - 1.9) ** 0.5, 0.95, hit)
+    assert (hit == (a.points @ b.points.T >= 0.95)).all()
+    if noise < 0.1:  # clusters that lie apart: node pairs are pruned, and linked as a whole
+        assert looked < len(x) * len(y) / 4
+
+
+def planted(points):
+    order, nodes = grown(points)
+    return Tree(points[order], nodes)
+
+
+@pytest.mark.parametrize("noise", [0.001, 0.3, 3.0])
+def test_every_node_covers_its_rows_with_half_the_radius_of_its_parent(noise):
+    x = unit(np.array([e for _, e in cloud(4, 600, 7, 10, noise)]))
+    order, nodes = grown(x)
+    assert sorted(order.tolist()) == list(range(len(x)))
+    x = x[order]
+    for n in nodes:
+        away = np.linalg.norm(x[n["start"] : n["end"]] - x[n["centre"]], axis=1)
+        assert n["start"] <= n["centre"] < n["end"] and away.max() <= n["radius"] + 1e-7
+        kids = nodes[n["first"] : n["last"]]
+        if len(kids):
+            assert kids["start"].tolist() == [n["start"], *kids["end"][:-1]] and kids["end"][-1] == n["end"]
+            assert (kids["radius"] <= n["radius"] / 2 + 1e-7).all()
+
+
+def test_equal_points_make_one_leaf():
+    order, nodes = grown(unit(np.ones((50, 3))))
+    assert len(nodes) == 1 and sorted(order.tolist()) == list(range(50))
+
+
+def test_subtrees_share_pages_and_only_near_units_meet():
+    unit_of, pages = layout(np.array([3, 4, 2, 25, 1, 9, 9]), 10)
+    assert unit_of.tolist() == [0, 0, 0, 1, 2, 2, 3] and pages.tolist() == [1, 3, 1, 1]
+    roots = tops(unit(np.array([[1.0, 0.01 * i] for i in range(20)] + [[0.01 * i, -1.0] for i in range(20)])), 6)
+    met = meeting(roots, np.full(len(roots), 0.05), np.arange(len(roots)), 0.1)
+    near = {(i, j) for i in range(len(roots)) for j in range(i, len(roots)) if np.linalg.norm(roots[i] - roots[j]) <= 0.2}
+    assert set(map(tuple, met.T.tolist())) == near and len(near) < len(roots) * (len(roots) + 1) // 2
+
+
+def test_clusters_prune_most_pairs(spark):
+    told = []
+    near_vectors(vectors(spark, cloud(6, 1500, 30, 16, 0.05)), page=200, subtrees=64, tell=lambda *x: told.append(x))
+    pairs, looked = told[0]
+    assert looked < pairs / 4
+
+
+def test_vectors_near_the_largest_double(spark):
+    rows = [(0, [1e305, 0.0]), (1, [1e305, 0.0]), (2, [0.0, 1.7e308]), (100, [1e305, 1e300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(vectors(spark, rows)).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 100: (2, 0), 2: (0, 2)}
+    found = [(r.query_id, r.vec_id, r.score) for r in nearest(vectors(spark, rows), k=2).orderBy("query_id", "rank").collect()]
+    assert [(q, v) for q, v, _ in found] == [(0, 1), (0, 100), (100, 0), (100, 1)] and found[0][2] == 0.0 and found[1][2] == pytest.approx(1e300)
 
 
 def test_pages_return_counts_and_classes():
-    x = unit(np.array([[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]]))
-    counts, (nodes, classes) = page_links((np.array([5, 6, 7]), np.array([5, 6, 7])), (np.ones(3, int), np.array([1, 3, 1])), x, x, True, 0.3, 0.95)
-    assert dict(zip(*[c.tolist() for c in counts[0]], strict=True)) == {5: 3, 6: 1, 7: 0}
+    tree = planted(unit(np.array([[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]])))
+    counts, (nodes, classes), _ = page_links((np.array([5, 6, 7]), np.array([5, 6, 7])), (np.array([1, 3, 1]), np.array([1, 3, 1])), tree, tree, True, 0.3, 0.95)
+    assert dict(zip(*[c.tolist() for c in counts[0]], strict=True)) == {5: 3, 6: 1}
     assert set(zip(nodes.tolist(), classes.tolist(), strict=True)) == {(5, 5), (6, 5)}
 
 
@@ -82,7 +134,7 @@ def exact(rows, every, k):
 def test_nearest_has_recall_and_exact_scores(spark):
     rows = cloud(3, 3000, 40, 12, 1.0) + ODD
     got = {}
-    for r in nearest(vectors(spark, rows), every=20, list_size=30).orderBy("query_id", "rank").collect():
+    for r in nearest(vectors(spark, rows), every=20, list_size=30, least=64).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r["score"], r.vec_id))
         assert r["rank"] == len(got[r.query_id])
     want = exact(rows, 20, 10)
@@ -97,7 +149,7 @@ def test_nearest_has_recall_and_exact_scores(spark):
 
 def recall_of(spark, rows, want, **options):
     got = {}
-    for r in nearest(vectors(spark, rows), every=20, list_size=30, **options).collect():
+    for r in nearest(vectors(spark, rows), every=20, list_size=30, least=64, **options).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert all(len(got[q]) == 10 for q in want)
     return np.mean([len(got[q] & {v for _, v in want[q]}) / 10 for q in want])
@@ -106,14 +158,23 @@ def recall_of(spark, rows, want, **options):
 def test_the_lists_decide_what_is_found(spark):
     rows = cloud(3, 3000, 40, 12, 1.0)
     want = exact(rows, 20, 10)
-    assert recall_of(spark, rows, want, sample_size=300) >= 0.9
-    assert recall_of(spark, rows, want, ratio=1.0) < 1
+    shares = []
+    assert recall_of(spark, rows, want, sample_size=300, tell=shares.append) >= 0.9
+    assert shares[0] < 0.3
+    loose = cloud(7, 3000, 3000, 12, 1.0)
+    assert recall_of(spark, loose, exact(loose, 20, 10), ratio=0.0) < 0.9
 
 
 def test_repeated_rows_leave_room_for_k_others(spark):
     rows = cloud(5, 400, 8, 12, 1.0)
     rows += [(rows[i][0], rows[i][1]) for i in range(1, 6) for _ in range(150)]
-    recall_of(spark, rows, exact(rows, 20, 10), ratio=1.0)
+    recall_of(spark, rows, exact(rows, 20, 10), ratio=0.0)
+
+
+def test_the_order_of_rows_does_not_matter(spark):
+    rows = [(0, [0.0, 1.0]), (0, [3.0, 3.0]), (7, [0.0, 3.0]), (8, [5.0, 5.0]), (8, [0.0, 9.0]), (None, [0.0, 1.0])]
+    both = [[tuple(r) for r in nearest(vectors(spark, x)).orderBy("rank").collect()] for x in (rows, rows[::-1])]
+    assert both[0] == both[1] == [(0, 1, 7, 2.0), (0, 2, 8, pytest.approx(41**0.5))]
 
 
 def test_all_candidates_if_there_are_fewer(spark):
@@ -129,3 +190,4 @@ def test_lists_are_balanced_and_all_reachable():
     assert np.bincount(home).max() <= 6 * len(points) / len(middle)
     graph = Graph(middle, np.bincount(home, minlength=len(middle)))
     assert set(graph.lists(points[0], 1e9)) == set(range(len(middle)))
+    assert graph.mean_square(points[0]) == pytest.approx(((middle - points[0]) ** 2).sum(1).mean())
