@@ -4,10 +4,12 @@ The documents of a source are dealt into blocks. With weight w its block j is re
 slot floor(j / w) and due at slot ceil((j + 1) / w); of the released blocks the one due first
 takes the next slot. As the weights sum to one, every block meets its window, so that at
 any slot a source is less than one block away from its share. Weights are exact fractions
-and hold over the whole phase; nothing is rounded to a period. The driver runs the schedule
-once and keeps how far each source is at the start of every stretch of slots; tasks
-run the stretches again from there. When a source runs out, a new phase starts in which the
+and hold over the whole phase. When a source runs out, a new phase starts in which the
 others share its weight.
+
+Weights are read as the decimal numbers that they are written as, so that they repeat after a period of as many slots as
+their whole-number proportions sum to, by which every source has exactly its share. The driver plans
+one period for each phase, whatever the number of documents; tasks plan the others from the same start.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import heapq
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from itertools import islice
-from math import lcm
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ PER_SOURCE = 8  # slots of a cycle a source at least
 STRETCH = 65_536  # slots that a task plans
 BLOCK = 16  # documents a block
 BUCKET = 4096  # documents of a source that are ranked together, about
+LEVELS = 16  # different weights by default, from 1 on
 MOST_BROADCAST = 200_000  # blocks of a plan that is broadcast, at most
 PLACE = ("rank", "phase", "cycle", "slot", "place")
 
@@ -44,10 +47,11 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
 
 
 def exact(weights: Mapping[str, float]) -> dict[str, int]:
-    """Whole numbers in exactly the proportions of the weights."""
-    parts = {k: Fraction(w) for k, w in weights.items()}
+    """The least whole numbers in exactly the proportions of the weights, floats as the shortest decimals that give them."""
+    parts = {k: Fraction(repr(w)) if isinstance(w, float) else Fraction(w) for k, w in weights.items()}
     unit = lcm(*(x.denominator for x in parts.values()))
-    return {k: int(x * unit) for k, x in parts.items()}
+    common = gcd(*(int(x * unit) for x in parts.values()))
+    return {k: int(x * unit) // common for k, x in parts.items()}
 
 
 def taken(whole: Mapping[str, int], done: Mapping[str, int], slot: int = 0) -> Iterator[str]:
@@ -75,21 +79,26 @@ def schedule(slots: Mapping[str, int]) -> list[str]:
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD, stretch: int = STRETCH) -> list[dict]:
     """Phases until all blocks are placed: first block and blocks of each source, whole-number weights, cycle, stretches.
 
-    A phase ends with the last block of the first of its sources to run out; it is one period of its
-    own. A stretch is its first slot, its slots and the blocks that each source has placed before.
+    A phase ends with the last block of the first of its sources to run out. A stretch is its first slot, its slots
+    and the blocks that each source has placed before; None for stretches of whole periods, which placed_before() knows. The
+    periods that no source can run out in are not run through here.
     """
     left, first, out = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
     while left:
         whole = exact({k: weights[k] for k in left})
-        done, starts = dict.fromkeys(left, 0), []
-        for slot, k in enumerate(taken(whole, done.copy())):
-            if slot % stretch == 0:
+        total = sum(whole.values())
+        periods = min((n - 1) // whole[k] for k, n in left.items())
+        step, begin = max(1, stretch // total) * total, periods * total
+        stretches: list[tuple] = [(at, min(step, begin - at), None) for at in range(0, begin, step)]
+        done, starts = {k: periods * n for k, n in whole.items()}, []
+        for slot, k in enumerate(taken(whole, done.copy(), begin), begin):
+            if (slot - begin) % stretch == 0:
                 starts.append((slot, done.copy()))
             done[k] += 1
             if done[k] == left[k]:
                 break
         ends = [at for at, _ in starts[1:]] + [slot + 1]
-        stretches = [(at, end - at, before) for (at, before), end in zip(starts, ends, strict=True)]
+        stretches += [(at, end - at, before) for (at, before), end in zip(starts, ends, strict=True)]
         out.append({"first": {k: first[k] for k in left}, "slots": done, "periods": 1, "weights": whole, "cycle": max(period, PER_SOURCE * len(left)), "stretches": stretches})
         for k, n in done.items():
             first[k] += n
@@ -99,9 +108,16 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int
     return out
 
 
-def tempered(counts: Mapping[str, int], power: float = 0.5) -> dict[str, float]:
-    """Target weights: each source's share of the documents to a power, so that large sources give way."""
-    return {k: float(n) ** power for k, n in counts.items()}
+def placed_before(phase: dict, start: int) -> dict[str, int]:
+    """Blocks of each source before a slot at which a period begins."""
+    periods = start // sum(phase["weights"].values())
+    return {k: n * periods for k, n in phase["weights"].items()}
+
+
+def tempered(counts: Mapping[str, int], levels: int = LEVELS) -> dict[str, int]:
+    """Target weights: the root of each source's documents, in whole numbers up to `levels` for the largest, so that large sources give way."""
+    most = max(counts.values())
+    return {k: max(1, round(levels * (n / most) ** 0.5)) for k, n in counts.items()}
 
 
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, carry: bool = False) -> DataFrame:
@@ -115,34 +131,36 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str =
     and repeated rows are placed like others, their ties in any order. An empty table gives
     no row; other columns are ignored, or with carry kept in a struct `row` (fields c0, c1, ...).
     (phase, cycle, slot) is the slot in the whole phase, in cycles of `period` slots or 8 a source.
-    The driver gets a count for each source and runs the schedule, a step a block, keeping a count a
-    source for every 65,536 blocks. Rows are
+    The driver gets a count for each source and plans a period of every phase: as many steps as the
+    weights sum to in whole numbers, at most LEVELS a source by default. Rows are
     ranked in hash buckets of bounded size with counts before each bucket, so that a large source
-    is spread over all tasks.
+    is spread over all tasks; a null id is hashed by its row's other columns.
     """
-    chosen = pick(df, id_col, source_col) if not carry else with_row(df, id_col, source_col)
-    rows = chosen.toDF("doc_id", "source", *(["row"] if carry else [])).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    rows = with_row(df, id_col, source_col, carry).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     counts = dict(rows.groupBy("source").count().collect())
     if not counts:
-        return rows.select("doc_id", "source", *[F.lit(0).cast("long").alias(c) for c in PLACE], *(["row"] if carry else []))
+        return rows.select("doc_id", "source", *[F.lit(0).cast("long").alias(c) for c in PLACE], *(["row"] if carry else []))  # no row
     given = dict(weights or tempered(counts))
     floor = min((w for w in given.values() if w > 0), default=1.0)
     given = {k: given[k] if given.get(k, 0) > 0 else floor for k in counts}
     bits = (max(counts.values()) // BUCKET).bit_length()
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.expr(f"shiftrightunsigned(h, {64 - bits})") if bits else F.lit(0).cast("long"))
+    rows = rows.withColumn("h", F.when(F.col("doc_id").isNull(), F.col("other")).otherwise(F.xxhash64("doc_id"))).withColumn("bucket", F.expr(f"shiftrightunsigned(h, {64 - bits})") if bits else F.lit(0).cast("long"))
     per = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = per.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).select("source", "bucket", "before")
-    inside = rows.withColumn("r", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")))
-    ranked = inside.join(before, ["source", "bucket"]).withColumn("rank", F.col("before") + F.col("r") - 1).drop("h", "bucket", "before", "r")
+    inside = rows.withColumn("r", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "other")))
+    ranked = inside.join(before, ["source", "bucket"]).withColumn("rank", F.col("before") + F.col("r") - 1).drop("h", "bucket", "before", "r", "other")
     plan = phases({k: -(-n // block) for k, n in counts.items()}, given, period)
     return placed(ranked, plan, block)
 
 
-def with_row(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    """Id, source and a struct of all columns by position, so that no names clash."""
+def with_row(df: DataFrame, id_col: str, source_col: str, carry: bool) -> DataFrame:
+    """doc_id, source, a hash `other` of all columns that can be hashed, and with carry a struct of all columns by position, so that no names clash."""
     unique = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    found = [next((i for i, c in enumerate(df.columns) if c == n), None) for n in (id_col, source_col)]
-    return unique.select(*[F.col(f"c{i}").alias(f"k{n}") for n, i in enumerate(found)], F.struct("*").alias("row"))
+    both = pick(df, id_col, source_col).columns  # tells of a column that is missing
+    found = [next((i for i, c in enumerate(df.columns) if c == n), None) for n in both]
+    found = [next(i for i, c in enumerate(df.columns) if c.lower() == n.lower()) if at is None else at for at, n in zip(found, both, strict=True)]
+    hashed = [F.col(f.name) for f in unique.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return unique.select(*[F.col(f"c{i}").alias(n) for i, n in zip(found, ("doc_id", "source"), strict=True)], F.xxhash64(*hashed).alias("other"), *([F.struct("*").alias("row")] if carry else []))
 
 
 def placed(ranked: DataFrame, plan: list[dict], block: int) -> DataFrame:
@@ -158,6 +176,7 @@ def placed(ranked: DataFrame, plan: list[dict], block: int) -> DataFrame:
             for p, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 phase = shipped.value[p]
                 start, n, before = phase["stretches"][i]
+                before = before or placed_before(phase, start)
                 sources = list(islice(taken(phase["weights"], before, start), n))
                 at, numbers = {k: phase["first"][k] + x for k, x in before.items()}, []
                 for k in sources:
@@ -177,7 +196,10 @@ def placed(ranked: DataFrame, plan: list[dict], block: int) -> DataFrame:
 
 
 def mixed_documents(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """The table itself, all rows and columns, in the order of the mixture over its sorted partitions."""
+    """The table itself, all rows and columns, in the order of the mixture over its sorted partitions.
+
+    As mix() does: null and repeated ids and null sources are rows like others, names may clash, an empty table gives no row.
+    """
     places = mix(df, weights, id_col, source_col, block, carry=True)
     rows = places.orderBy("phase", "cycle", "slot", "place")
     return rows.select(*[F.col(f"row.c{i}") for i in range(len(df.columns))]).toDF(*df.columns)

@@ -3,6 +3,7 @@ import itertools
 import json
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 
 from inkfield.llm.chat import LAYOUTS, TURNS, chat_digest, fingerprint, format_turns, json_turns, parse_slice, paths_of, table_turns
 from inkfield.llm.langid import Classifier, dictionary, identify, language_digest, learn
-from inkfield.llm.mixing import mix, mixed_documents, phases, schedule, shares, taken
+from inkfield.llm.mixing import exact, mix, mixed_documents, phases, placed_before, schedule, shares, taken, tempered
 
 # language
 
@@ -140,6 +141,7 @@ def test_the_given_weights_hold_over_many_cycles(weights):
     at = {k: i for i, k in enumerate(weights)}
     done, t = np.zeros(len(share)), 0
     for start, n, before in phase["stretches"]:
+        before = before or placed_before(phase, start)
         assert start == t and [before[k] for k in weights] == done.tolist()
         for k in itertools.islice(taken(phase["weights"], before, start), n):
             done[at[k]] += 1
@@ -148,6 +150,51 @@ def test_the_given_weights_hold_over_many_cycles(weights):
     assert t > 50 * 1024
 
 
+def straight(blocks, weights):
+    """Earliest deadline first over exact fractions, block by block: the source of every slot, phase after phase."""
+    left, out = {k: n for k, n in blocks.items() if n}, []
+    while left:
+        parts = {k: Fraction(str(weights[k])) for k in left}
+        share = {k: x / sum(parts.values()) for k, x in parts.items()}
+        done, order, t = dict.fromkeys(left, 0), [], 0
+        while True:
+            due = {k: -(-(done[k] + 1) // share[k]) for k in left if done[k] // share[k] <= t}
+            k = min(due, key=lambda k: (due[k], k))
+            order.append(k)
+            done[k], t = done[k] + 1, t + 1
+            assert all(abs(done[x] - share[x] * t) < 1 for x in left)
+            if done[k] == left[k]:
+                break
+        out.append(order)
+        left = {k: n - done[k] for k, n in left.items() if n > done[k]}
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcde"), st.tuples(st.integers(0, 120), st.sampled_from([0.5, 0.3, 0.2, 1, 7, 0.01, 1000])), min_size=1), st.integers(1, 40))
+def test_the_plan_is_that_of_straight_fractions(sources, stretch):
+    blocks, weights = {k: n for k, (n, _) in sources.items()}, {k: w for k, (_, w) in sources.items()}
+    plan = phases(blocks, weights, stretch=stretch)
+    got = []
+    for phase in plan:
+        order = []
+        for start, n, before in phase["stretches"]:
+            assert start == len(order)
+            order += itertools.islice(taken(phase["weights"], before or placed_before(phase, start), start), n)
+        got.append(order)
+    assert got == straight(blocks, weights)
+
+
+def test_the_driver_plans_one_period_of_each_phase():
+    assert exact({"a": 0.5, "b": 0.3, "c": 0.2}) == {"a": 5, "b": 3, "c": 2} and exact({"a": 4, "b": 2}) == {"a": 2, "b": 1}
+    counts = {f"s{i:03}": 10**9 * (i + 1) for i in range(100)}
+    weights = tempered(counts)
+    assert max(weights.values()) == 16 and min(weights.values()) >= 1
+    plan = phases({k: n // 16 for k, n in counts.items()}, weights)
+    assert sum(n for phase in plan for _, n, before in phase["stretches"] if before) <= 100 * 16 * 100
+    assert sum(sum(phase["slots"].values()) for phase in plan) == sum(n // 16 for n in counts.values())
+
+
 def test_places_keep_to_the_given_weights(spark):
     rows = [(i, f"s{i % 20:02}") for i in range(100_000)]
     weights = {f"s{i:02}": 1.0 for i in range(20)}
