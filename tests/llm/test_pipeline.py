@@ -2,6 +2,7 @@ import itertools
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_duplicates import brute, shingle_set, similar, spread
 
 import __spark_entry__
@@ -70,6 +71,33 @@ def test_mixture_and_packing_lose_nothing(steps):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
+def test_stages_of_messy_rows(spark, sf, messy):
+    unique = messy.toDF(*[f"c{i}" for i in range(len(messy.columns))])
+    docs = unique.withColumn("n", F.length("c1").cast("long")).toDF(*messy.columns, "n_chars")
+    told = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = Written(stage(spark, docs, sf), name).read()
+        told[name] = docs
+        if name != "packing":
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+            docs = docs.select("*", F.lit(1).alias("TEXT"), F.lit(2).alias("extra"))
+    kept = [r for r in told["language"].collect()]
+    before = [tuple(r) for r in messy.collect()]
+    assert all(r.text and any(c.isalpha() for c in r.text) for r in kept) and {(r.doc_id, r.text) for r in kept} <= {x[:2] for x in before}
+    assert {r.doc_id for r in told["lines"].collect()} <= {r.doc_id for r in kept}
+    near = told["near"].collect()
+    assert sorted(map(str, told["mixture"].collect())) == sorted(map(str, near))
+    sets = [shingle_set(r.text, corpus_pipeline.WORDS) for r in near]
+    assert not any(similar(a, b) for (a, x), (b, y) in itertools.combinations(zip(sets, near, strict=True), 2) if (x.doc_id, x.text) != (y.doc_id, y.text))
+    assert sum(p.length for p in told["packing"].collect() if p.start == 0) and {p.doc_id for p in told["packing"].collect()} == {r.doc_id for r in near}
+
+
+def test_stages_of_no_rows(spark, sf, nothing):
+    docs = nothing.withColumn("n_chars", F.lit(1).cast("long"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).collect() == []
+
+
 def test_sequences_follow_the_mixture(spark, sf, tmp_path):
     docs = [(i, f"word{i} " * (300 if i >= 300 else 3), "en", "b" if i >= 100 else "a", 1) for i in range(900)]
     names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes")
