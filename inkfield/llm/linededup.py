@@ -267,8 +267,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     classes = places.groupBy("item", "more").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     classes = classes.join(found.read().withColumnRenamed("node", "item"), "item", "left")
     merged = Written(classes.where("component is not null or first <> last"), "classes")
-    best = merged.read().where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
-    decided = merged.read().join(best, "component", "left").select("item", "more", F.coalesce("best", "first").alias("stays"))
+    close = merged.read().where("component is not null")
+    best = close.groupBy("component").agg(F.min("first").alias("stays"))
+    equal = merged.read().where("component is null").select("item", "more", F.col("first").alias("stays"))
+    decided = close.join(best, "component").select("item", "more", "stays").union(equal)
     gone = places.join(decided, ["item", "more"]).where("place <> stays").select("place.doc_id", "place.text_hash", "place.line_no")
     gone = Written(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone")), "gone")
     for t in (found, merged):
