@@ -15,6 +15,10 @@ from inkfield.catalogue import ALIASES, FUZZY
 from inkfield.functions.text import clean_value, normalize
 
 
+PLACES = 100  # at least as many as the catalogue has aliases
+STEPS = 10**9  # of similarity
+
+
 def catalogue() -> list[dict]:
     """Aliases, longest first, with what their matching needs."""
     rows = []
@@ -23,6 +27,8 @@ def catalogue() -> list[dict]:
             least = next(t for n, t in FUZZY if n is None or len(alias) <= n)
             rows.append({"field": field, "alias": alias, "compact": alias.replace(" ", ""), "size": len(alias), "least": least, "slack": max(2.0, len(alias) * 0.25), "edits": math.ceil(len(alias) * (1 - least))})
     rows.sort(key=lambda r: -r["size"])
+    if len(rows) > PLACES:
+        raise ValueError(f"the keys of labels have room for {PLACES} aliases")
     return [r | {"rank": n} for n, r in enumerate(rows)]
 
 
@@ -55,10 +61,6 @@ def inline_part(text: Column, letters: Column) -> Column:
     return F.when(rest != "", rest)
 
 
-PLACES = 100  # more than the catalogue has aliases
-STEPS = 10**9  # of similarity
-
-
 def key_of(words: Column, joined: Column, a: dict) -> Column:
     """Similarity and rank of one alias in one number, the better the larger; null if it does not match. All literals, so it is compiled."""
     alias, distance = F.lit(a["alias"]), F.levenshtein(words, F.lit(a["alias"]), a["edits"])

@@ -128,6 +128,42 @@ def test_pages_of_uploads(spark, tmp_path):
     assert (np.frombuffer(pixels, np.uint8).reshape(30, 20, 3) == noise(30, 20, 3)[..., ::-1]).all()
 
 
+def test_from_uploads_to_results(spark, tmp_path):
+    import datetime as dt
+
+    from inkfield.plans.parse import parse_nested
+    from inkfield.sources.pages import recognise_pages, replies_of
+    from inkfield.sources.wire import nested_blocks
+
+    for name, raw in (("good.png", png(noise(40, 60, 3))), ("odd.png", png(noise(30, 30, 3))), ("broken.png", png(noise(9, 9, 3))[:50])):
+        (tmp_path / name).write_bytes(raw)
+
+    def engine():
+        warm = []
+
+        def read(image):
+            if not warm:
+                warm.append(image.shape)
+                return {}
+            if image.shape[1] == 30:
+                raise RuntimeError("odd")
+            box = lambda x, y: [[x, y], [x + 300, y], [x + 300, y + 40], [x, y + 40]]
+            return {"rec_texts": ["7319052840", "VERGİ KİMLİK NUMARASI", "VERGİ LEVHASI", " "], "rec_scores": [0.9, 1.0000001], "rec_polys": np.array([box(150, 166.4), box(100, 99.6), box(480, 10)])}
+
+        return read
+
+    options = ImageOptions(deskew=False, contrast=False)
+    images = page_images(read_uploads(spark, str(tmp_path), 1 << 20), options=options)
+    replies = replies_of(recognise_pages(images, engine, np.zeros((8, 8, 3), np.uint8)))
+    got = {r.doc_id.rpartition("/")[2]: r for r in replies.collect()}
+    assert {k: (r.success, r.error) for k, r in got.items()} == {"good.png": (True, None), "odd.png": (False, "OCR_FAILED"), "broken.png": (False, "INVALID_IMAGE")}
+    assert [(b.text, b.confidence, b.box.y1) for b in got["good.png"].pages[0].blocks] == [("VERGİ LEVHASI", 0.0, 10.0), ("VERGİ KİMLİK NUMARASI", 1.0, 100.0), ("7319052840", 0.9, 166.0)]
+    told = parse_nested(nested_blocks(replies.where("success")), Options(today=dt.date(2026, 1, 1))).first()
+    assert told.success and told.data.vkn == "7319052840"
+    unbuilt = recognise_pages(images, lambda: 1 / 0)
+    assert {r.error for r in unbuilt.collect()} == {"OCR_SERVICE_UNAVAILABLE", "INVALID_IMAGE"}
+
+
 def test_options_from_the_environment():
     said = {"OCR_MAX_PAGES": " 9 ", "OCR_DESKEW": "Off", "OCR_THRESHOLD": " YES ", "OCR_DPI": "many", "OCR_MOST_SKEW": "", "OTHER": "1"}
     got = from_environment(ImageOptions, "OCR_", said)
