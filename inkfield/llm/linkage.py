@@ -44,11 +44,12 @@ def is_forest(stars: DataFrame) -> bool:
     return bad.isEmpty()
 
 
-def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], close: str | None = None, rounds: int = 2) -> Written:
+def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], close: str | None = None, known: DataFrame | None = None, rounds: int = 2) -> Written:
     """node, component of the items of buckets (key, item, rank, ...) that have a link.
 
     verify: takes candidate pairs (a, b) and returns the linked ones. close: a cheap necessary
-    condition in SQL on the other columns of the buckets, with _a and _b after their names. The first
+    condition in SQL on the other columns of the buckets and on those of known (item, ...), which only what is left
+    is joined with; _a and _b stand after their names. The first
     hub of a bucket is its item of least rank, the hub of a later round the one with the least hash under
     the round's seed; so buckets of one group mostly share their hub. Buckets that lie in one component
     are left out. What is left meets pair by pair, each pair in the least key that both have.
@@ -65,7 +66,7 @@ def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], close:
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rest = Written(at.join(mixed, "key", "left_semi"), "rest")
     keys = rest.read().groupBy("item").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    full = Written(rest.read().join(keys, "item"), "mixed")
+    full = Written(rest.read().join(keys if known is None else keys.join(known, "item"), "item"), "mixed")
     left, right = suffixed(full.read(), "a"), suffixed(full.read(), "b")
     close = f"key_a = key_b and item_a < item_b and c_a <> c_b and {close or 'true'} and key_a = array_min(array_intersect(keys_a, keys_b))"
     pairs = left.join(right, F.expr(close)).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))

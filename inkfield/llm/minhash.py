@@ -3,17 +3,21 @@
 A document is the set of its word shingles, hashed to 64 bits; its signature has the
 minimum of 64 hash functions. Documents with equal sets are one class, so copies cost
 nothing more. Every class is posted under its coordinate-value pairs. Two sets of
-similarity 0.8 or more agree in at least 40 of 64 coordinates but for a chance of about
-3.5 in 10,000; two signatures that agree in 40 share one of the 25 rarest pairs of each, so
-only these rarest pairs are posted (prefix), values that no other class has are skipped,
-agreeing coordinates are counted for what meets in a list, and whoever reaches 40 is
+similarity 0.8 or more agree in at least 32 of 64 coordinates but for a chance of 2 in
+100 million; two signatures that agree in 32 share one of the 33 rarest pairs of each, so
+only the lists of these are merged (prefix), and values that no other class has are skipped. What meets
+in a merged list has its collisions counted: the frequent pairs' lists are skipped over, and whether both
+stand in them is looked up in the signatures. Whoever reaches 32 is
 confirmed on the full sets. Before that, shingles that no other candidate has bound a
 pair's similarity from above: a class with too many of its own is linked with nothing, so
-families of loose copies do not meet pair by pair.
+families of loose copies do not meet pair by pair; and 1024 more coordinates of four bits each deny
+pairs that are far apart, a pair at the threshold with a chance of under 1 in a billion.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,7 +28,9 @@ from inkfield.llm.linkage import resolve
 from inkfield.llm.vectors import matrix
 from inkfield.llm.wordtok import per_worker
 
-COORDINATES, MATCHES, BITS = 64, 40, 1024
+COORDINATES, MATCHES = 64, 32
+FINE, BITS = 1024, 4  # more coordinates, and the bits kept of each
+DENIED = 1e-9  # chance at most that these deny a pair of the least similarity
 SEED = 20_011
 COLUMNS = 4096  # shingles times 64 values at a time
 SKETCH = "doc_id long, text_hash long, n_shingles long, digest binary, signature array<int>"
@@ -112,7 +118,7 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
-    """The pairs (a, b) that agree in enough coordinates and whose intersection has at least `percent` of the union."""
+    """The pairs (a, b) with enough collisions, those in skipped lists looked up, whose intersection has at least `percent` of the union."""
     left = sets.select(F.col("item").alias("a"), F.col("shingles").alias("sa"), F.col("signature").alias("x"))
     right = sets.select(F.col("item").alias("b"), F.col("shingles").alias("sb"), F.col("signature").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "x", "y")
@@ -156,19 +162,19 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
     return sized.join(own, "item", "left").select("item", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("rest"))
 
 
-def one_bit(sets: DataFrame) -> DataFrame:
-    """item, bits: a bit each of 1024 more minima. Two sets of similarity s agree in a bit with chance (1 + s) / 2."""
+def fine_bits(sets: DataFrame) -> DataFrame:
+    """item, bits: four bits each of 1024 more minima, bit by bit. Two sets of similarity s agree in all four with chance s + (1 - s) / 16."""
 
     def make():
-        more = per_worker(("bits",), lambda: Shingler(1, BITS))
+        more = per_worker(("bits",), lambda: Shingler(1, FINE))
 
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
             bits = []
             for raw in batch.column(1):
-                least = more.minima(np.frombuffer(raw.as_py(), np.uint64))
-                bits.append(np.packbits((least >> np.uint64(24)).astype(np.uint8) & 1).view(np.int64))
+                kept = (more.minima(np.frombuffer(raw.as_py(), np.uint64)) >> np.uint64(24)).astype(np.uint8)
+                bits.append(np.packbits([kept >> k & 1 for k in range(BITS)], axis=1).ravel().view(np.int64))
             yield {"item": batch.column(0), "bits": bits}
 
         return step
@@ -176,13 +182,19 @@ def one_bit(sets: DataFrame) -> DataFrame:
     return arrow_map(sets.select("item", "shingles"), make, "item long, bits array<long>")
 
 
+def most_apart(percent: int) -> int:
+    """The least number of differing coordinates that a pair of the least similarity exceeds with a chance of at most DENIED."""
+    differ, tail, k = (1 - percent / 100) * (1 - 2.0**-BITS), 0.0, FINE
+    while k and tail + (now := comb(FINE, k) * differ**k * (1 - differ) ** (FINE - k)) <= DENIED:
+        tail, k = tail + now, k - 1
+    return k
+
+
 def possible(percent: int) -> str:
-    """SQL: whether two sets can be similar enough, by their sizes, by what of them other sets have at all, and by
-    their bits, which deny it wrongly with a chance of 1 in 100,000 at the least similarity."""
-    chance = (1 - percent / 100) / 2
-    apart = BITS * chance + 4.3 * (BITS * chance * (1 - chance)) ** 0.5
-    differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITS // 64))
-    return f"100 * least(rest_a, rest_b) >= {percent} * (size_a + size_b - least(rest_a, rest_b)) and {differ} <= {int(apart) + 1}"
+    """SQL: whether two sets can be similar enough, by their sizes, by what of them other sets have at all, and by their bits."""
+    words = FINE // 64
+    differ = " + ".join("bit_count(" + " | ".join(f"(bits_a[{i + words * k}] ^ bits_b[{i + words * k}])" for k in range(BITS)) + ")" for i in range(words))
+    return f"100 * least(rest_a, rest_b) >= {percent} * (size_a + size_b - least(rest_a, rest_b)) and {differ} <= {most_apart(percent)}"
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
@@ -210,19 +222,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = Written(classes.read().join(wanted, "item", "left_semi"), "candidates")
     sets = Written(class_sets(rows, chosen.read(), words), "sets")
     sizes = shared_sizes(sets.read()).where(f"100 * rest >= {percent} * size")  # else no link is possible
-    known = sizes.withColumn("rank", 1 - F.col("rest") / F.col("size")).join(one_bit(sets.read()), "item")
-    viable = Written(buckets.read().join(known, "item"), "viable")
-    found = resolve(viable.read(), lambda pairs: confirm(pairs, sets.read(), percent, matches), possible(percent))
-    for t in (buckets, sets, chosen, viable):
+    known = Written(sizes.join(fine_bits(sets.read()), "item"), "known")
+    ranked = known.read().select("item", (1 - F.col("rest") / F.col("size")).alias("rank"))
+    viable = Written(buckets.read().join(ranked, "item"), "viable")
+    found = resolve(viable.read(), lambda pairs: confirm(pairs, sets.read(), percent, matches), possible(percent), known.read())
+    for t in (buckets, sets, chosen, known, viable):
         t.drop()
     items = classes.read().join(found.read().select(F.col("node").alias("item"), "component"), "item", "left").select("digest", "rep", F.coalesce("component", "item").alias("c"))
     least = items.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_digest = Written(items.join(least, "c").select("digest", "component_id"), "components")
     for t in (classes, found):
         t.drop()
-    told = sketch.read().join(by_digest.read(), "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash")
+    linked = sketch.read().join(by_digest.read(), "digest").select("doc_id", "n_shingles", "component_id", "text_hash")
+    wordless = sketch.read().where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+    return linked.union(wordless).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "text_hash")
 
 
 def class_sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:

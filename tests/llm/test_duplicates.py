@@ -1,13 +1,16 @@
 import itertools
 import random
 import re
+from collections import Counter, defaultdict
+from math import comb
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from inkfield.llm.linededup import SPACE, Layout, dedup_lines, item_of, keys_of, within
 from inkfield.llm.linkage import components
-from inkfield.llm.minhash import near_duplicates
+from inkfield.llm.minhash import FINE, MATCHES, fine_bits, most_apart, near_duplicates
 
 
 def spread(nodes, links):
@@ -63,6 +66,37 @@ def test_near_duplicates_of_families(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {k: (len(sets[k]), want[k], want[k] == k) for k in sets}
 
 
+def test_no_link_between_documents_is_lost(spark):
+    """All documents of a table against exact overlaps of their shingle sets."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingle_set(r.text, 4) for r in rows.collect()}
+    holders, overlap = defaultdict(list), Counter()
+    for k, shingles in sets.items():
+        for x in shingles:
+            overlap.update((other, k) for other in holders[x])
+            holders[x].append(k)
+    links = [(a, b) for (a, b), n in overlap.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    want = spread(sets, links)
+    got = near_duplicates(rows, words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (len(sets[k]), want[k]) for k in sets} and len(links) > 50
+
+
+def test_few_pairs_at_the_threshold_are_denied():
+    assert sum(comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(MATCHES)) < 1e-7
+    differ = 0.2 * 15 / 16
+    chance = lambda most: sum(comb(FINE, k) * differ**k * (1 - differ) ** (FINE - k) for k in range(most + 1, FINE + 1))
+    assert chance(most_apart(80)) <= 1e-9 < chance(most_apart(80) - 1)
+
+
+def test_fine_bits_agree_as_often_as_they_should(spark):
+    rng = np.random.default_rng(4)
+    common, own = rng.integers(0, 1 << 63, 800, np.uint64), rng.integers(0, 1 << 63, (2, 100), np.uint64)
+    sets = spark.createDataFrame([(i, np.sort(np.concatenate((common, own[i]))).tobytes()) for i in range(2)], "item long, shingles binary")
+    a, b = (np.array(r.bits, np.int64) for r in fine_bits(sets).orderBy("item").collect())
+    planes = np.unpackbits((a ^ b).view(np.uint8)).reshape(4, -1)
+    assert abs(planes.max(0).sum() - FINE * 0.2 * 15 / 16) < 60 and most_apart(80) > planes.max(0).sum()
+
+
 def test_near_duplicates_of_messy_rows(messy, nothing):
     got = near_duplicates(messy, words=5).collect()
     rows = [(r[0], r[1]) for r in map(tuple, messy.collect())]
