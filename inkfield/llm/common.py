@@ -84,7 +84,19 @@ class Written:
         drop_path(self.spark, self.path)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Rows read straight from files that make fewer tasks than there are cores, dealt out to as many; others as they are.
+
+    A Parquet file cannot be split within a row group, so a small table would keep one core busy.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "FileScan" not in plan or "Exchange" in plan:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str, even: bool = True) -> DataFrame:
     """mapInArrow with per-task state: make() is called once a task; the function it
     returns takes a batch (and at the end None) and yields dicts of column lists."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -100,7 +112,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
             yield as_batch(out, target)
 
     plain = df.toDF(*[f"p{i}" for i in range(len(df.columns))])  # mapInArrow looks columns up by name
-    return plain.mapInArrow(run, schema)
+    return (spread(plain) if even else plain).mapInArrow(run, schema)
 
 
 def as_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:

@@ -287,4 +287,5 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 
 def dedup_digest(kept: DataFrame) -> DataFrame:
+    """A row for each row of dedup_lines(), with the length and checksum of its text; null for a null text."""
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))

@@ -159,8 +159,9 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         return step
 
     rows = pick(df, id_col, text_col).select(F.col(id_col).cast("long"), F.col(text_col))
-    return arrow_map(rows, make, SCHEMA)
+    return arrow_map(rows, make, SCHEMA, even=False)  # every further task pads a sequence more
 
 
 def pack_digest(pieces: DataFrame) -> DataFrame:
+    """A row for each piece of pack(), the checksum of its ids instead of the ids; null ids and empty texts as there."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -224,6 +224,10 @@ def read_token_files(spark: SparkSession, shards: list[dict]) -> DataFrame:
 
 
 def token_file_digest(spark: SparkSession, df: DataFrame, tokenizer: str) -> DataFrame:
+    """A row for each document, read back from files written below the shared folder: its place, length and checksum.
+
+    Null and repeated ids, null texts, clashing columns and empty tables as write_token_files() has them.
+    """
     shards = write_token_files(df, tokenizer, new_path(spark, "ids"))
     return read_token_files(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
