@@ -445,9 +445,13 @@ def label_best_alias(spark, sf_dir):
 
 @query(f"WITH {JUDGED} SELECT doc_id, block_idx, alias, round_even(similarity, 6) AS similarity FROM judged WHERE similarity IS NOT NULL AND words <> ''")
 def label_match_cascade(spark, sf_dir):
-    rows = certificates(spark, sf_dir).select("doc_id", "block_idx", t.normalize(F.col("text")).alias("words"), F.explode(lab.catalogue_array()).alias("a"))
+    """Every block with all aliases that it is like: different texts are judged, their blocks joined back."""
+    blocks = certificates(spark, sf_dir).select("doc_id", "block_idx", "text")
+    folded = blocks.select("text").distinct().withColumn("words", t.normalize(F.col("text"))).where("words <> ''")
+    each = folded.select("text", "words", F.explode(lab.catalogue_array()).alias("a"))
     alike = lab.evaluate(F.col("words"), F.replace("words", F.lit(" "), F.lit("")), F.col("a"))
-    return rows.where("words <> ''").select("doc_id", "block_idx", "a.alias", F.bround(alike, 6).alias("similarity")).where("similarity is not null")
+    judged = each.select("text", "a.alias", F.bround(alike, 6).alias("similarity")).where("similarity is not null")
+    return blocks.join(judged, "text").select("doc_id", "block_idx", "alias", "similarity")
 
 
 @query(f"WITH {FACTS} SELECT key, CASE WHEN variant % 4 < 3 THEN name END AS inline FROM facts")
