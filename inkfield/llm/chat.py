@@ -274,7 +274,10 @@ def read_digest(formatted: DataFrame) -> DataFrame:
 
 
 def chat_digest(conversations: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """Formats rows of turns, writes the slices to the shared folder and reads them back."""
+    """Formats rows of turns, writes the slices to the shared folder and reads them back: a row for each conversation.
+
+    Null texts and roles are empty, repeated turns count each; an empty table gives a row for the extra turns only.
+    """
     turns = table_turns(conversations, "conv_id", "turn")
     written = Written(format_turns(turns.unionByName(extra) if extra is not None else turns), "chat")
     return read_digest(written.read())
