@@ -32,6 +32,7 @@ BLOCK = 16  # documents a block
 BUCKET = 4096  # documents of a source that are ranked together, about
 LEVELS = 16  # different weights by default, from 1 on
 MOST_BROADCAST = 200_000  # blocks of a plan that is broadcast, at most
+WIDTHS = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz")  # of fixed width
 PLACE = ("rank", "phase", "cycle", "slot", "place")
 
 
@@ -134,7 +135,7 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str =
     The driver gets a count for each source and plans a period of every phase: as many steps as the
     weights sum to in whole numbers, at most LEVELS a source by default. Rows are
     ranked in hash buckets of bounded size with counts before each bucket, so that a large source
-    is spread over all tasks; a null id is hashed by its row's other columns.
+    is spread over all tasks; a null id is hashed by its row's other columns, without carry by those of fixed width.
     """
     rows = with_row(df, id_col, source_col, carry).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     counts = dict(rows.groupBy("source").count().collect())
@@ -154,13 +155,15 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str =
 
 
 def with_row(df: DataFrame, id_col: str, source_col: str, carry: bool) -> DataFrame:
-    """doc_id, source, a hash `other` of all columns that can be hashed, and with carry a struct of all columns by position, so that no names clash."""
+    """doc_id, source, a hash `other` of the columns of fixed width, so that no text is read for it, and with carry of all
+    that can be hashed, and a struct of all columns by position, so that no names clash."""
     unique = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     both = pick(df, id_col, source_col).columns  # tells of a column that is missing
     found = [next((i for i, c in enumerate(df.columns) if c == n), None) for n in both]
     found = [next(i for i, c in enumerate(df.columns) if c.lower() == n.lower()) if at is None else at for at, n in zip(found, both, strict=True)]
-    hashed = [F.col(f.name) for f in unique.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return unique.select(*[F.col(f"c{i}").alias(n) for i, n in zip(found, ("doc_id", "source"), strict=True)], F.xxhash64(*hashed).alias("other"), *([F.struct("*").alias("row")] if carry else []))
+    kinds = [(f.name, f.dataType.simpleString()) for f in unique.schema]
+    hashed = [F.col(n) for n, kind in kinds if ("map<" not in kind and "variant" not in kind if carry else kind.partition("(")[0] in WIDTHS)]
+    return unique.select(*[F.col(f"c{i}").alias(n) for i, n in zip(found, ("doc_id", "source"), strict=True)], (F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")).alias("other"), *([F.struct("*").alias("row")] if carry else []))
 
 
 def placed(ranked: DataFrame, plan: list[dict], block: int) -> DataFrame:

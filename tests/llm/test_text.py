@@ -206,6 +206,12 @@ def test_places_keep_to_the_given_weights(spark):
         assert t % 97 or all(abs(n - t / 20) < 1 for n in done.values())
 
 
+def test_no_text_is_read_for_places(spark):
+    found = mix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "text:string" not in plan
+
+
 def test_mixture_of_messy_rows(messy, nothing):
     got = mixed_documents(messy)
     assert got.columns == messy.columns
