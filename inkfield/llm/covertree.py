@@ -11,25 +11,35 @@ Every page grows its cover tree once: a node's children are a net of half its co
 single vectors or a few. For a pair of pages the two trees are walked together: node pairs out of reach
 are pruned, node pairs wholly within reach are linked unseen, leaves are compared exactly. A pair of
 pages returns counts for each vector and the classes it joins, never the links one by one.
+
+Vectors are shuffled once, to their pages, at the precision they came in; all else goes by 128-bit hashes of them. A page
+is a file in the shared folder, and a task reads those that it compares: disk grows with the vectors, not with the pairs of pages.
 """
 
 from __future__ import annotations
 
 import math
+import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from inkfield.llm.common import Written, arrow_map
+from inkfield.llm.common import Written, arrow_map, drop_path, new_path, pick
 from inkfield.llm.linkage import components
+from inkfield.llm.tokenfile import filesystem
 from inkfield.llm.vectors import matrix, numbered_vectors, sample, small_batches
 
 SAMPLE = 4096  # vectors the top of the tree is made of
 SUBTREES = 1024  # subtrees at most
 PAGE = 2048  # vectors of a page, about
-TOGETHER = 4  # pages a side that a task holds at a time: every page travels that many times less
+TOGETHER = 16  # pages a side that a task holds at a time, at most: every page is read that many times less
+SIDES = 8  # groups of pages at least, if there are so many pages
+TASKS = 4096  # tasks that pairs of groups are dealt to, at most
+SEEN = 1 << 20  # hashes that a task knows copies by
 LEAF = 4  # vectors of a leaf at most, unless they are all equal but for rounding
 EDGE = 1e-7  # what bounds on distances give way, for rounding
 NODE = np.dtype([("start", "<i4"), ("end", "<i4"), ("centre", "<i4"), ("first", "<i4"), ("last", "<i4"), ("radius", "<f8")])
@@ -180,6 +190,7 @@ def page_links(ids: tuple, copies: tuple, a: Tree, b: Tree, same: bool, reach: f
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -208,6 +219,45 @@ def meeting(points: np.ndarray, radii: np.ndarray, unit_of: np.ndarray, reach: f
     return np.concatenate(pairs, axis=1)
 
 
+class Pages:
+    """Pages below a path in the shared folder, a file each. What is written last under a number is as good as what was there."""
+
+    HEAD = struct.Struct("<QQQ")  # vectors, nodes, bytes of a component
+
+    def __init__(self, path: str):
+        self.fs, self.path = filesystem(path)
+
+    def write(self, page: int, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, nodes: np.ndarray) -> None:
+        self.fs.create_dir(self.path, recursive=True)
+        part = f"{self.path}/{page}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part) as out:
+            out.write(self.HEAD.pack(len(ids), len(nodes), vectors.itemsize))
+            for x in (ids, copies, nodes, vectors):
+                out.write(np.ascontiguousarray(x).tobytes())
+        self.fs.move(part, f"{self.path}/{page}")
+
+    def read(self, page: int) -> tuple[np.ndarray, np.ndarray, Tree]:
+        with self.fs.open_input_stream(f"{self.path}/{page}") as file:
+            raw = file.read()
+        n, nodes, width = self.HEAD.unpack_from(raw)
+        at, found = self.HEAD.size, []
+        for kind, count in (("<i8", n), ("<i8", n), (NODE, nodes), (f"<f{width}", -1)):
+            found.append(np.frombuffer(raw, kind, count, at))
+            at += found[-1].nbytes
+        return found[0], found[1], Tree(unit(found[3].reshape(n, -1)), found[2])
+
+
+def nearest_root(x: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """The nearest root of each vector, the same one whatever vectors stand beside it: a product's last bits depend on these."""
+    dots = x @ roots.T
+    home = dots.argmax(1)
+    close = dots >= dots[np.arange(len(x)), home][:, None] - 1e-9
+    for i in np.flatnonzero(close.sum(1) > 1):
+        rivals = np.flatnonzero(close[i])
+        home[i] = rivals[np.argmax([math.fsum(x[i] * roots[k]) for k in rivals])]
+    return home
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, page: int = PAGE, subtrees: int = SUBTREES, tell=None) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each vector.
 
@@ -222,31 +272,45 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """
     spark = df.sparkSession
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    rows = numbered_vectors(df, id_col, vector_col)
-    grouped = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    items = Written(grouped.select("embedding", "rep", "copies", F.monotonically_increasing_id().alias("item"), F.size("embedding").alias("dim")), "vectors")
+    kind = "float" if pick(df, vector_col).schema[0].dataType == ArrayType(FloatType()) else "double"
+    rows = numbered_vectors(df, id_col, vector_col).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    rows = rows.withColumns({"k": F.xxhash64("embedding"), "l": F.xxhash64(F.lit(1), "embedding"), "dim": F.size("embedding")})
+    fine = rows.where("embedding is not null")
+    ids = Written(rows.select("vec_id", *[F.when(F.col("embedding").isNotNull(), F.col(c)).alias(c) for c in ("k", "l", "dim")]), "ids")
+    grouped = ids.read().where("dim is not null").groupBy("k", "l", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    items = Written(grouped.withColumn("item", F.monotonically_increasing_id()), "items")
     sizes = dict(items.read().groupBy("dim").count().collect())
     if not sizes:
-        return told(rows, None, None, None)
-    roots = {d: tops(unit(sample(items.read().where(F.col("dim") == d), "item", SAMPLE, n)[1]), subtrees) for d, n in sizes.items()}
+        return told(ids, None, None, None)
+    roots = {d: tops(unit(sample(fine.where(F.col("dim") == d).dropDuplicates(["k", "l"]), "k", SAMPLE, n)[1]), subtrees) for d, n in sizes.items()}
     shipped = spark.sparkContext.broadcast(roots)
 
     def homes():
+        seen = set()
+
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = []
+            for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                fresh.append(key not in seen)
+                seen.add(key)
+            batch = batch.filter(pa.array(fresh))
             dims = batch.column(3).to_numpy()
             for d in np.unique(dims):
                 part = batch.filter(dims == d)
                 x = unit(matrix(part.column(0)))
-                home = (x @ shipped.value[d].T).argmax(1)
+                home = nearest_root(x, shipped.value[d])
                 away = np.linalg.norm(x - shipped.value[d][home], axis=1)
-                yield {"item": part.column(2), "copies": part.column(1), "embedding": part.column(0), "dim": part.column(3), "cell": home, "away": away}
+                yield {"k": part.column(1), "l": part.column(2), "embedding": part.column(0), "dim": part.column(3), "cell": home, "away": away}
 
         return step
 
-    placed = Written(arrow_map(items.read().select("embedding", "copies", "item", "dim"), homes, "item long, copies long, embedding array<double>, dim int, cell int, away double"), "cells")
-    found = placed.read().groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
+    placed = Written(arrow_map(fine.select("embedding", "k", "l", "dim"), homes, f"k long, l long, embedding array<{kind}>, dim int, cell int, away double"), "cells")
+    homes_of = placed.read().groupBy("k", "l", "dim", "cell").agg(F.max("away").alias("away"))
+    found = homes_of.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
     cells, pairs, base = [], [], 0
     for d in sizes:
         own = sorted((r for r in found if r.dim == d), key=lambda r: r.cell)
@@ -256,65 +320,75 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         met = meeting(roots[d][[r.cell for r in own]], np.array([r.radius for r in own]), unit_of, reach)
         pairs.append(pa.table({"a": starts[met[0]], "to_a": (starts + pages)[met[0]] - 1, "b": starts[met[1]], "to_b": (starts + pages)[met[1]] - 1}))
         base += int(pages.sum())
-    dealt = placed.read().join(F.broadcast(spark.createDataFrame(cells, "dim int, cell int, first long, pages long")), ["dim", "cell"]).withColumn("page", F.col("first") + F.pmod(F.xxhash64("item"), F.col("pages")))
-    listed = dealt.groupBy("page").agg(F.first("dim").alias("dim"), F.collect_list("item").alias("items"), F.collect_list("copies").alias("copies"), F.collect_list("embedding").alias("vectors"))
+    at = F.broadcast(spark.createDataFrame(cells, "dim int, cell int, first long, pages long"))
+    dealt = lambda some: some.join(at, ["dim", "cell"]).withColumn("page", F.col("first") + F.pmod("k", F.col("pages")))
+    vectors = dealt(placed.read()).select("page", "dim", F.struct("k", "l").alias("key"), "embedding", F.lit(None).cast("struct<k:long,l:long,item:long,copies:long>").alias("known"))
+    known = dealt(homes_of.join(items.read().drop("dim"), ["k", "l"])).select("page", "dim", F.lit(None).cast("struct<k:long,l:long>").alias("key"), F.lit(None).cast(f"array<{kind}>").alias("embedding"), F.struct("k", "l", "item", "copies").alias("known"))
+    listed = vectors.unionByName(known).groupBy("page").agg(F.first("dim").alias("dim"), F.collect_list("key").alias("keys"), F.collect_list("embedding").alias("vectors"), F.collect_list("known").alias("known"))
+    path = new_path(spark, "pages")
 
     def grow():
+        kept = Pages(path)
+
         def step(batch):
             for i in range(batch.num_rows if batch is not None else 0):
-                ids, copies, x = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy(), unit(matrix(batch.column(4)[i].values))
-                order, nodes = grown(x)
-                yield {"page": batch.column(0).slice(i, 1), "dim": batch.column(1).slice(i, 1), "ids": [ids[order].tobytes()], "copies": [copies[order].tobytes()], "points": [x[order].tobytes()], "nodes": [nodes.tobytes()]}
+                keys, known = batch.column(2)[i].values, batch.column(4)[i].values
+                k, l, item, copies = (known.field(c).to_numpy() for c in range(4))
+                one = {key: at for at, key in enumerate(zip(*(keys.field(c).to_pylist() for c in range(2)), strict=True))}  # copies come from several tasks
+                order = np.lexsort((l, k))
+                raw = matrix(batch.column(3)[i].values)[[one[key] for key in zip(k[order].tolist(), l[order].tolist(), strict=True)]]
+                rows, nodes = grown(unit(raw))
+                kept.write(batch.column(0)[i].as_py(), item[order][rows], copies[order][rows], raw[rows], nodes)
+                yield {"page": batch.column(0).slice(i, 1)}
 
         return step
 
     with small_batches(spark, 2):
-        bound = Written(arrow_map(listed, grow, "page long, dim int, ids binary, copies binary, points binary, nodes binary"), "pages")
+        Written(arrow_map(listed, grow, "page long"), "bound").drop()
     placed.drop()
+    together = max(1, min(TOGETHER, base // SIDES))
     met = spark.createDataFrame(pa.concat_tables(pairs)).select(F.explode(F.sequence("a", "to_a")).alias("a"), "b", "to_b").select("a", F.explode(F.sequence("b", "to_b")).alias("b")).where("a <= b")
-    met = met.withColumn("left", F.expr(f"a div {TOGETHER}")).withColumn("right", F.expr(f"b div {TOGETHER}"))
-    asked = met.groupBy("left", "right").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    needed = met.select("left", "right", F.explode(F.array("a", "b")).alias("page")).distinct()
-    held = needed.join(bound.read(), "page").groupBy("left", "right").agg(F.collect_list(F.struct("page", "dim", "ids", "copies", "points", "nodes")).alias("pages"))
-    both = asked.join(held, ["left", "right"]).select("pairs", "pages")
+    sides = -(-base // together)
+    asked = met.groupBy(F.expr(f"a div {together}").alias("left"), F.expr(f"b div {together}").alias("right")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    both = asked.select("pairs").repartition(min(TASKS, sides * (sides + 1) // 2))
 
     def compare():
+        kept = Pages(path)
+
         def step(batch):
             for i in range(batch.num_rows if batch is not None else 0):
-                pages, own = batch.column(1)[i].values, {}
-                for k in range(len(pages)):
-                    page, dim = (pages.field(c)[k].as_py() for c in range(2))
-                    ids, copies, x, nodes = (np.frombuffer(pages.field(c)[k].as_buffer(), t) for c, t in ((2, "<i8"), (3, "<i8"), (4, "<f8"), (5, NODE)))
-                    own[page] = dim, ids, copies, Tree(x.reshape(-1, dim), nodes)
-                for pair in batch.column(0)[i].as_py():
-                    (dim, ia, na, a), (other, ib, nb, b) = own[pair["a"]], own[pair["b"]]
-                    if dim != other:  # no pages of different lengths are paired
-                        raise AssertionError("pages of different lengths")
-                    counts, (nodes, classes), looked = page_links((ia, ib), (na, nb), a, b, a is b, reach, cosine)
+                asked = [(pair["a"], pair["b"]) for pair in batch.column(0)[i].as_py()]
+                own, looked = {page: kept.read(page) for page in sorted({page for pair in asked for page in pair})}, 0
+                for left, right in asked:
+                    (ia, na, a), (ib, nb, b) = own[left], own[right]
+                    counts, (nodes, classes), n = page_links((ia, ib), (na, nb), a, b, a is b, reach, cosine)
+                    looked += n
                     for mine, n in counts:
-                        yield {"item": mine, "links": n, "joined": np.full(len(mine), -1)}
-                    yield {"item": nodes, "links": np.zeros(len(nodes), np.int64), "joined": classes}
-                    yield {"item": [-1], "links": [looked], "joined": [-2]}
+                        if len(mine):
+                            yield {"item": mine, "links": n, "joined": np.full(len(mine), -1)}
+                    far = classes != nodes
+                    if far.any():
+                        yield {"item": nodes[far], "links": np.zeros(far.sum(), np.int64), "joined": classes[far]}
+                yield {"item": [-1], "links": [looked], "joined": [-2]}
 
         return step
 
     with small_batches(spark, 1):
         links = Written(arrow_map(both, compare, "item long, links long, joined long"), "links")
-    bound.drop()
+    drop_path(spark, path)
     if tell:
         tell(sum(n * (n - 1) // 2 for n in sizes.values()), links.read().where("joined = -2").agg(F.sum("links")).first()[0])
     summed = links.read().where("joined = -1").groupBy("item").agg(F.sum("links").alias("links"))
     classes = components(links.read().where("joined >= 0 and joined <> item").select(F.col("item").alias("a"), F.col("joined").alias("b")))
-    return told(rows, items, summed, classes)
+    return told(ids, items, summed, classes)
 
 
-def told(rows: DataFrame, items: Written | None, summed: DataFrame | None, classes: Written | None) -> DataFrame:
-    alone = rows if items is None else rows.where("embedding is null")
-    known = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+def told(ids: Written, items: Written | None, summed: DataFrame | None, classes: Written | None) -> DataFrame:
+    known = ids.read().where("dim is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if items is not None:
-        each = items.read().select("embedding", "rep", "copies", "item").join(summed, "item", "left").join(classes.read().withColumnRenamed("node", "item"), "item", "left")
+        each = items.read().join(summed, "item", "left").join(classes.read().withColumnRenamed("node", "item"), "item", "left")
         each = each.withColumn("component", F.coalesce("component", "item"))
         least = each.groupBy("component").agg(F.min("rep").alias("component_id"))
-        each = each.join(least, "component").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-        known = known.unionByName(rows.where("embedding is not null").join(each, "embedding").select("vec_id", "n_links", "component_id"))
+        each = each.join(least, "component").select("k", "l", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+        known = known.unionByName(ids.read().where("dim is not null").join(each, ["k", "l"]).select("vec_id", "n_links", "component_id"))
     return known.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

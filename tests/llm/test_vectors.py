@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from inkfield.llm.ann import Graph, centroids, nearest
-from inkfield.llm.covertree import Tree, grown, layout, meeting, near_vectors, page_links, tops, unit, walk
+from inkfield.llm.covertree import Pages, Tree, grown, layout, meeting, near_vectors, nearest_root, page_links, tops, unit, walk
 
 SCHEMA = "vec_id long, embedding array<double>, VEC_ID string, n_links int"
 
@@ -106,6 +106,39 @@ def test_clusters_prune_most_pairs(spark):
     assert looked < pairs / 4
 
 
+def shuffled(spark):
+    """Bytes of each shuffle file that there is."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().endswith(".data")}
+
+
+def test_shuffles_grow_with_the_vectors_and_not_with_pairs_of_pages(spark):
+    x = np.random.default_rng(8).normal(size=(6000, 16))
+    rows = vectors(spark, [(i, e) for i, e in enumerate(x.tolist())])
+    before = shuffled(spark)
+    found = near_vectors(rows, page=60).collect()
+    assert len(found) == 6000
+    assert sum(n for name, n in shuffled(spark).items() if name not in before) < 5 * x.nbytes
+
+
+def test_pages_come_back_as_they_were_written(tmp_path):
+    rng = np.random.default_rng(9)
+    for kind in (np.float32, np.float64):
+        x = rng.normal(size=(70, 5)).astype(kind)
+        order, nodes = grown(unit(x))
+        Pages(f"file://{tmp_path}/some").write(3, order, order + 1, x[order], nodes)
+        ids, copies, tree = Pages(f"file://{tmp_path}/some").read(3)
+        assert (ids == order).all() and (copies == order + 1).all() and (tree.nodes == nodes).all() and (tree.points == unit(x[order])).all()
+
+
+def test_the_nearest_root_is_the_same_beside_other_vectors():
+    rng = np.random.default_rng(10)
+    roots = unit(rng.normal(size=(300, 64)))
+    x = unit(np.concatenate((rng.normal(size=(200, 64)), (roots[:100] + roots[100:200]) / 2)))  # half of them as near to two roots
+    whole = nearest_root(x, roots)
+    assert all((nearest_root(x[i : i + n], roots) == whole[i : i + n]).all() for i, n in ((0, 1), (7, 3), (200, 1), (201, 2), (150, 120), (260, 40)))
+
+
 def test_vectors_near_the_largest_double(spark):
     rows = [(0, [1e305, 0.0]), (1, [1e305, 0.0]), (2, [0.0, 1.7e308]), (100, [1e305, 1e300])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(vectors(spark, rows)).collect()}
