@@ -10,8 +10,9 @@ bucket is compared pair by pair, so no link between two components is missed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfield.llm.common import Written
@@ -54,7 +55,7 @@ def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], close:
     the round's seed; so buckets of one group mostly share their hub. Buckets that lie in one component
     are left out. What is left meets pair by pair, each pair in the least key that both have.
     """
-    links = found = None
+    spark, links, found = buckets.sparkSession, None, None
     for step in range(rounds):
         at = labelled(buckets, found)
         order = F.xxhash64("item", F.lit(step)) if step else F.col("rank")
@@ -70,12 +71,29 @@ def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], close:
     left, right = suffixed(full.read(), "a"), suffixed(full.read(), "b")
     close = f"key_a = key_b and item_a < item_b and c_a <> c_b and {close or 'true'} and key_a = array_min(array_intersect(keys_a, keys_b))"
     pairs = left.join(right, F.expr(close)).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
-    links, found = linked(verify, pairs, links, found)
+    with compiled_methods(spark):
+        asked = Written(pairs, "pairs")
+    links, found = confirmed(verify, asked, links, found)
     for t in (rest, full, links):
         t.drop()
     return found
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession):
+    """No generated method over what the JVM compiles to machine code, 8000 bytes: a long condition on pairs is cut into several.
+
+    Beyond that size a method is interpreted, for every pair.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def suffixed(rows: DataFrame, side: str) -> DataFrame:
     return rows.toDF(*[f"{c}_{side}" for c in rows.columns])
 
@@ -90,7 +108,10 @@ def labelled(buckets: DataFrame, found: Written | None) -> DataFrame:
 
 def linked(verify, pairs: DataFrame, links: Written | None, found: Written | None) -> tuple[Written, Written]:
     """All links so far, and their components."""
-    asked = Written(pairs, "pairs")
+    return confirmed(verify, Written(pairs, "pairs"), links, found)
+
+
+def confirmed(verify, asked: Written, links: Written | None, found: Written | None) -> tuple[Written, Written]:
     if found is not None and asked.read().isEmpty():
         asked.drop()
         return links, found

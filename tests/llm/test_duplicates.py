@@ -8,6 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from inkfield.llm import linkage
 from inkfield.llm.linededup import SPACE, Layout, dedup_lines, item_of, keys_of, within
 from inkfield.llm.linkage import components
 from inkfield.llm.minhash import FINE, MATCHES, fine_bits, most_apart, near_duplicates
@@ -66,6 +67,31 @@ def test_near_duplicates_of_families(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {k: (len(sets[k]), want[k], want[k] == k) for k in sets}
 
 
+def test_no_method_that_pairs_pass_through_is_interpreted(spark, monkeypatch):
+    """The JVM compiles no method over 8000 bytes; Spark falls back to smaller ones where its limit says so."""
+    seen = []
+
+    class Watched(linkage.Written):
+        def __init__(self, df, what):
+            stages = df._jdf.queryExecution().debug().codegenToSeq()
+            longest = max([stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())], default=0)
+            seen.append((what, longest, int(spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535"))))
+            super().__init__(df, what)
+
+    monkeypatch.setattr(linkage, "Written", Watched)
+    rng = random.Random(3)
+    base = [str(rng.random()) for _ in range(300)]
+    rows = [(i, " ".join(w if rng.random() < 0.96 else str(rng.random()) for w in base)) for i in range(40)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else stages are generated only once they run
+    try:
+        assert near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).count() == 40
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert any(longest > 8000 for _, longest, _ in seen)
+    assert [x for x in seen if x[1] > 8000 and x[2] > 8000] == []
+
+
 def test_no_link_between_documents_is_lost(spark):
     """All documents of a table against exact overlaps of their shingle sets."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
